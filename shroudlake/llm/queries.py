@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import mix
+from .neardup import near_duplicates
 from .quality import score_quality
 from .rules import apply_policy, ledger
 from .sharding import shard
@@ -37,6 +38,10 @@ def op2_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_policy(ledger(read(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
@@ -50,7 +55,7 @@ def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(read(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_sharding, op2_quadratic_quality, op6_rule_ledger, op7_fair_mixing, op8_repair_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jump_sharding, op2_quadratic_quality, op3_hamming_neardup, op6_rule_ledger, op7_fair_mixing, op8_repair_tokens)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

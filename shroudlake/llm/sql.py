@@ -22,6 +22,28 @@ def _jump(n: int, name: str) -> str:
 ), {name} AS (SELECT h, max(b)::INTEGER AS s FROM {name}_steps WHERE j >= {n} GROUP BY h)"""
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def near_ctes(table: str, words: int) -> str:
+    """Tables near_d (r, doc_id, w, n_shingles) and near_min (r, component_id) over a table of documents."""
+    return rf"""
+near_d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+near_s AS (SELECT DISTINCT r, array_to_string(w[i : i + {words - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM near_d WHERE len(w) > 0)),
+near_n AS (SELECT r, count(*) AS n FROM near_s GROUP BY r),
+near_p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM near_s a JOIN near_s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+near_l AS (SELECT x, y FROM near_p JOIN near_n a ON a.r = x JOIN near_n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+near_e AS (SELECT x, y FROM near_l UNION ALL SELECT y, x FROM near_l),
+near_reach AS (SELECT r, r AS z FROM near_d UNION SELECT near_reach.r, near_e.y FROM near_reach JOIN near_e ON near_e.x = near_reach.z),
+near_min AS (SELECT near_reach.r, min(near_d.doc_id) AS component_id FROM near_reach JOIN near_d ON near_d.r = z GROUP BY near_reach.r)"""
+
+
+def near_sql(table: str, words: int) -> str:
+    """Near-duplicate groups by comparing all pairs that share a shingle."""
+    return f"""WITH RECURSIVE {near_ctes(table, words)}
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM near_d LEFT JOIN near_n USING (r) JOIN near_min USING (r)"""
+
+
 SQL: dict[str, str] = {
     "op1_jump_sharding": f"""
 WITH RECURSIVE {_CRC_TABLE},
@@ -31,6 +53,7 @@ hashed AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT
 SELECT doc_id, size, text_crc32, 'key' AS law, n.s AS shard,
   row_number() OVER (PARTITION BY n.s ORDER BY d.h, text_crc32, size) - 1 AS slot, g.s AS grown_shard
 FROM hashed d JOIN now n USING (h) JOIN grown g USING (h)""",
+    "op3_hamming_neardup": near_sql("documents", 4),
     "op6_rule_ledger": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
