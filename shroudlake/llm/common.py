@@ -67,3 +67,28 @@ def running(df: DataFrame, rows: int, group: str, order: str, ties: list[str], v
     out_col = (F.col("_offset") + F.coalesce(F.sum("_value").over(inner), F.lit(0))).alias(out)
     keep = [c for c in df.columns if c not in ("_range", "_value")]
     return df.join(offsets, [group, "_range"]).select(*keep, out_col)
+
+
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """A checkpoint of df, range-partitioned and sorted by `order`, with the partition as _part.
+
+    Sampling balances the parts, so a group of any size is spread over several of them.
+    """
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def last_before(df: DataFrame, group: str, order: list[str], payload: Column, out: str) -> DataFrame:
+    """Adds the last non-null payload among the earlier rows of the group: an as-of join of df with itself.
+
+    order makes rows of a group distinct, and group isn't null. Rows are dealt by ranges of (group, order); each
+    range finds the last payload inside, and ranges of one group hand theirs on, one row for each range.
+    """
+    df = in_ranges(df.withColumn("_payload", payload), group, *order)
+    place = F.struct(*order)
+    carry = df.where(F.col("_payload").isNotNull()).groupBy(group, "_part").agg(F.max_by("_payload", place).alias("_own"))
+    carry = df.select(group, "_part").distinct().join(carry, [group, "_part"], "left")
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.select(group, "_part", F.last("_own", ignorenulls=True).over(earlier).alias("_carry"))
+    inner = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = df.join(carry, [group, "_part"]).withColumn(out, F.coalesce(F.last("_payload", ignorenulls=True).over(inner), F.col("_carry")))
+    return found.drop("_part", "_payload", "_carry")

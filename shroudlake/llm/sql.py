@@ -44,6 +44,25 @@ def near_sql(table: str, words: int) -> str:
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM near_d LEFT JOIN near_n USING (r) JOIN near_min USING (r)"""
 
 
+def leak_ctes(table: str) -> str:
+    """Tables leak_d (r, doc_id, w) and leak_r (r, n_hit, n_items, ids): what documents share with the benchmark."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+leak_d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM {table}),
+leak_i AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+leak_w AS (SELECT DISTINCT item_id, len, array_to_string(w[i : i + len - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), 8) AS len, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM leak_i WHERE len(w) > 0)),
+leak_p AS (SELECT r, i, len, array_to_string(w[i : i + len - 1], ' ') AS win FROM (SELECT r, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM leak_d, (SELECT DISTINCT len FROM leak_w) WHERE len(w) >= len)),
+leak_o AS (SELECT r, i, len, item_id FROM leak_p JOIN leak_w USING (win, len)),
+leak_h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + len)) AS p FROM leak_o) GROUP BY r),
+leak_r AS (SELECT r, n_hit, n_items, ids FROM leak_h JOIN (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM leak_o GROUP BY r) USING (r))"""
+
+
+def leak_sql(table: str) -> str:
+    return f"""WITH {leak_ctes(table)}
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM leak_d LEFT JOIN leak_r USING (r)"""
+
+
 SQL: dict[str, str] = {
     "op1_jump_sharding": f"""
 WITH RECURSIVE {_CRC_TABLE},
@@ -54,6 +73,32 @@ SELECT doc_id, size, text_crc32, 'key' AS law, n.s AS shard,
   row_number() OVER (PARTITION BY n.s ORDER BY d.h, text_crc32, size) - 1 AS slot, g.s AS grown_shard
 FROM hashed d JOIN now n USING (h) JOIN grown g USING (h)""",
     "op3_hamming_neardup": near_sql("documents", 4),
+    "op4_prefix_decontamination": leak_sql("documents"),
+    "op5_revisit_resolution": r"""
+WITH raw AS (
+  SELECT page_id AS k, url, octet_length(encode(coalesce(html, ''))) AS size, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || ((page_id % 28 + 28) % 28) AS day FROM pages),
+rec AS (
+  SELECT k * 2 AS record_id, url, k * 10 AS ts, 'response' AS kind, tag AS etag, day AS last_modified,
+    'cache-control=max-age=60;content-length=' || size || ';content-type=text/html;etag=' || tag || ';last-modified=' || day AS headers, size FROM raw
+  UNION ALL
+  SELECT k * 2 + 1, regexp_replace(url, '^https?://', 'https://www.') || '#again', k * 10 + CASE WHEN k % 7 = 3 THEN -5 ELSE 5 END, 'revisit',
+    CASE WHEN k % 5 = 0 THEN '"other"' WHEN k % 5 < 4 THEN 'W/' || tag END, CASE WHEN k % 3 > 0 THEN day END,
+    concat('cache-control=max-age=120;content-length=0;date=day 30', ';etag=' || CASE WHEN k % 5 = 0 THEN '"other"' WHEN k % 5 < 4 THEN 'W/' || tag END, ';server=edge'), size FROM raw),
+named AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM rec),
+canon AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\d*\.', '')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]$', ''), '/$', '') AS canonical_url FROM named),
+found AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'day': last_modified, 'size': size} END IGNORE NULLS)
+    OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM canon),
+judged AS (
+  SELECT *, CASE WHEN kind = 'response' THEN 'response' WHEN f IS NULL THEN 'missing'
+    WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = f.etag THEN 'resolved' ELSE 'mismatch' END
+    WHEN last_modified IS NOT NULL THEN CASE WHEN last_modified = f.day THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS status FROM found)
+SELECT record_id, canonical_url, ts, kind, CASE WHEN status = 'resolved' THEN f.id END AS refers_to, status,
+  CASE WHEN status = 'resolved' THEN 'cache-control=max-age=120;content-length=' || f.size || ';content-type=text/html;date=day 30;etag=' || coalesce(etag, f.etag) || ';last-modified=' || f.day ELSE headers END AS headers
+FROM judged""",
     "op6_rule_ledger": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -79,4 +124,9 @@ c AS (SELECT d.*, source_size, source_rank, target, sum(size) OVER (PARTITION BY
 copies AS (SELECT doc_id, h, size, source_rank, (e * source_size + upto)::DOUBLE / target AS finish FROM c, range(3) r(e) WHERE size > 0 AND target > 0),
 got AS (SELECT doc_id, h, sum(size)::BIGINT AS taken FROM (SELECT *, sum(size) OVER (ORDER BY finish, source_rank) AS total FROM copies) WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id, h)
 SELECT c.doc_id, c.size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM c LEFT JOIN got ON c.doc_id = got.doc_id AND c.h = got.h""",
+    "op9_quotation_links": r"""
+WITH m AS (SELECT *, lag(text) OVER w AS t1, lag(text, 2) OVER w AS t2, row_number() OVER w - 1 AS place, min(turn) OVER (PARTITION BY conv_id) AS root FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, role, md5(trim(text, E' \t\n\r\x0b\x0c')) AS text_md5, length(trim(text, E' \t\n\r\x0b\x0c'))::BIGINT AS n_chars,
+  ((t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT) AS n_levels, ((t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT) AS n_quotes, ((t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT) AS n_linked,
+  CASE WHEN t1 IS NOT NULL THEN turn - 1 END AS parent, root, place AS depth FROM m""",
 }
