@@ -1,0 +1,3 @@
+"""Data anonymisation and privacy analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
