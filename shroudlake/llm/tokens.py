@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +21,9 @@ MAGIC = b"RPG1"
 #: Ids in a block at least (a document is never cut, so a longer one makes a longer block).
 BLOCK_IDS = 1 << 18
 #: Most rounds, most pairs a round, and the count below which a pair isn't replaced.
-ROUNDS, PAIRS, LEAST = 8, 1024, 4
+ROUNDS, PAIRS, LEAST = 6, 2048, 6
 #: Chunks whose ids a worker remembers; beyond this it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 def _counts(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,7 +49,7 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         often = np.flatnonzero(counts >= LEAST)
         if not len(often):
             break
-        top = often[np.argsort(-counts[often], kind="stable")][: 2 * PAIRS]
+        top = often[np.argsort(-counts[often], kind="stable")][: PAIRS + PAIRS // 4]
         firsts, seconds, chosen = set(), set(), []
         for k in kinds[top].tolist():
             a, b = k >> shift, k & ((1 << shift) - 1)
@@ -85,21 +89,30 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return seq, rules, size
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+def unfold(rules: np.ndarray, size: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, lengths): where each symbol's ids are in one array, terminals first."""
+    starts = np.concatenate((np.arange(base), base + np.concatenate(([0], np.cumsum(size)))[:-1])).astype(np.int64)
+    lengths = np.concatenate((np.ones(base, np.int64), size))
+    ids = np.concatenate((np.arange(base, dtype=np.uint32), np.zeros(int(size.sum()), np.uint32)))
+    low = 0
+    while low < len(rules):  # the rules of a round use earlier ones alone, so they are filled together
+        part = rules[low:]
+        high = low + int(np.argmax(np.concatenate(((part >= base + low).any(axis=1), [True]))))
+        for side, shift in ((0, np.zeros(high - low, np.int64)), (1, lengths[rules[low:high, 0]])):
+            symbol = rules[low:high, side]
+            n = lengths[symbol]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            ids[np.repeat(starts[base + low : base + high] + shift, n) + inner] = ids[np.repeat(starts[symbol], n) + inner]
+        low = high
+    return ids, starts, lengths
+
+
+def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of a part of a compressed sequence."""
-    seq = seq.astype(np.uint32)
-    while len(rules):
-        high = seq >= base
-        n = int(high.sum())
-        if not n:
-            break
-        at = np.arange(len(seq)) + np.concatenate(([0], np.cumsum(high)[:-1]))
-        out = np.empty(len(seq) + n, np.uint32)
-        out[at[~high]] = seq[~high]
-        both = rules[seq[high] - base]
-        out[at[high]], out[at[high] + 1] = both[:, 0], both[:, 1]
-        seq = out
-    return seq
+    ids, starts, lengths = table
+    n = lengths[seq]
+    ends = np.cumsum(n)
+    return ids[np.repeat(starts[seq] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def pack(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
@@ -125,51 +138,80 @@ class Block:
         at += 4 * n_rules
         self.seq = np.frombuffer(blob, kind, n_seq, at)
         self.ends = np.frombuffer(blob, "<u8", n_docs, at + n_seq * width).astype(np.int64)
+        self.table = unfold(self.rules, self.size, self.base)
         self._at: np.ndarray | None = None
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.base)
+        return expand(self.seq, self.table)
 
     def doc(self, k: int) -> np.ndarray:
         """The ids of the k-th document: only the symbols that cover it are expanded."""
         if self._at is None:
-            seq = self.seq.astype(np.int64)
-            each = np.where(seq < self.base, 1, self.size[np.maximum(seq - self.base, 0)] if len(self.size) else 1)
-            self._at = np.concatenate(([0], np.cumsum(each)))
+            self._at = np.concatenate(([0], np.cumsum(self.table[2][self.seq])))
         a, b = (int(self.ends[k - 1]) if k else 0), int(self.ends[k])
         if a == b:
             return np.zeros(0, np.uint32)
         i, j = int(np.searchsorted(self._at, a, "right")) - 1, int(np.searchsorted(self._at, b, "left"))
-        part = expand(self.seq[i:j], self.rules, self.base)
-        return part[a - int(self._at[i]) : b - int(self._at[i])]
+        return expand(self.seq[i:j], self.table)[a - int(self._at[i]) : b - int(self._at[i])]
+
+
+#: Chunk -> ids, by tokenizer file; it lasts as long as the worker, over tasks.
+_MEMOS: dict[str, "Memo"] = {}
+
+#: How `word_bpe` files cut texts into pieces: a fixed value of their format.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case texts of ASCII and Latin letters up to U+017F, which no normal form changes.
+_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\x0b\x0c\ra-z\u00df-\u00f6\u00f8-\u017f0-9]+")
+_NOT_LATIN = re.compile("[^\t\n\x0b\x0c\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
+#: The printable character that stands for each byte in byte-level vocabularies: fixed by their format.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
-class Encoder:
-    """Encodes by the tokenizers library, remembering the ids of chunks between ASCII white space.
+class Memo(dict):
+    """The ids, as bytes, of pieces of texts; unknown ones are encoded by the tokenizers library.
 
-    That is exact where no token crosses white space, as `word_bpe` files have it: they drop white space.
+    Texts of ASCII and Latin letters are cut into the pieces of the tokenizer itself, which its model then encodes.
+    In other texts a piece is what stands between ASCII white space, and takes the whole way through the tokenizer;
+    that is exact where no token crosses white space, as `word_bpe` files have it: they drop white space.
     """
 
     def __init__(self, path: str):
-        import os
-
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def __call__(self, text: str | None) -> bytes:
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PIECES} and rules["model"]["type"] == "BPE"
+
+    def __missing__(self, piece: str | bytes) -> bytes:
+        if len(self) > MEMO:
+            self.clear()
+        if isinstance(piece, str):
+            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in self.model.tokenize(text)]
+        else:
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        value = self[piece] = array("I", ids).tobytes()
+        return value
+
+    def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        chunks, memo = (text or "").encode("utf-8", "replace").split(), self.memo
-        new = list({c for c in chunks if c not in memo})
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, chunks))
+        text = text or ""
+        if self.plain and not _NOT_LATIN.search(text):
+            return b"".join(map(self.__getitem__, _LATIN.findall(text.lower())))
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+
+
+def memo_of(path: str) -> Memo:
+    if path not in _MEMOS:
+        _MEMOS[path] = Memo(path)
+    return _MEMOS[path]
 
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> str:
@@ -188,8 +230,8 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        base, shard, block = max(encode.base, end_id + 1), TaskContext.get().partitionId(), 0
+        memo, end = memo_of(tokenizer), np.array([end_id], "<u4").tobytes()
+        base, shard, block = max(memo.base, end_id + 1), TaskContext.get().partitionId(), 0
         keys, parts, ends, n = [], [], [], 0
 
         def full() -> pa.RecordBatch:
@@ -197,9 +239,9 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([keys], pa.list_(arrow_key)), pa.array([blob], pa.binary())], names=names)
 
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(t.as_py()) + end
-                keys.append(k.as_py())
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = memo.encode(t) + end
+                keys.append(k)
                 parts.append(ids)
                 n += len(ids) // 4
                 ends.append(n)
