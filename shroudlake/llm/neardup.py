@@ -6,7 +6,7 @@ allowed error of each chunk (the chunk without one of its symbols: 64 keys a tex
 Jaccard similarity 0.8 differs in 12.8 symbols on average, and in more than 31 with a probability below 1e-6.
 
 Within a bucket pairs aren't all written out. Each member is first compared with the smallest one; what that doesn't
-join is compared in blocks of bounded size inside tasks, by longer sketches, and only pairs that pass are written.
+join is compared in blocks of bounded size inside tasks, on short forms of the sets, and only pairs that pass are written.
 All links are confirmed on full shingle sets.
 """
 
@@ -27,11 +27,11 @@ CHUNKS, LANES = 16, 4
 SYMBOLS = CHUNKS * LANES
 #: Most differing symbols for which a chunk with one error at most is certain.
 RADIUS = 2 * CHUNKS - 1
-#: Bytes of the longer sketch.
-SKETCH = 768
 #: Members of a bucket that are compared with each other in one go.
-BLOCK = 256
-#: Standard deviations allowed above the expected differences of a pair at the similarity asked for.
+BLOCK = 2048
+#: Shingles in a set's short form, which is all of them (in 32 bits) up to so many, else a sample by hash.
+SHORT = 1024
+#: Standard deviations below the similarity asked for that an estimate from samples may have.
 SIGMAS = 5.3
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,21 +114,43 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, n_shingles long, class binary, signature array<long>")
 
 
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle, sorted; of large sets those below a power of two alone, so that two samples compare."""
+    bits = (shingles >> np.uint64(32)).astype(np.uint32)  # sorted already
+    return bits[: np.searchsorted(bits, 1 << (32 - _halvings(len(shingles))))] if len(shingles) > SHORT else bits
+
+
+def _halvings(n: int) -> int:
+    return max(0, (max(n, 1) - 1) // SHORT).bit_length()
+
+
+def _maybe(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles with short forms p and q can have the similarity; never false by chance."""
+    halvings = max(_halvings(n), _halvings(m))
+    if halvings:
+        p, q = (x[: np.searchsorted(x, 1 << (32 - halvings))] for x in (p, q))
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p):
+        return True
+    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    if not halvings:
+        return 100 * (common + 2) >= percent * (n + m - common - 2)  # 2 for shingles that meet in 32 bits
+    union, share = len(p) + len(q) - common, percent / 100
+    return common / union >= share - SIGMAS * (share * (1 - share) / union) ** 0.5
+
+
 def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """node, set (sorted hashes) and sketch of each row of df."""
+    """node, set (sorted hashes) and short form of each row of df."""
     base = df.select(F.col(key), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, (a, b) = Shingler(words), _seeds(SKETCH, 2)
+        shingler = Shingler(words)
         for batch in batches:
-            sets, sketches = [], []
-            for t in batch.column(1):
-                found = shingler.shingles(shingler.split(t.as_py()))
-                sets.append(found.tobytes())
-                sketches.append((shingler.minima(found, a, b) >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], names=["node", "set", "sketch"])
+            found = [shingler.shingles(shingler.split(t.as_py())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_short(x).tobytes() for x in found], pa.binary())], names=["node", "set", "short"])
 
-    return base.mapInArrow(run, f"node {base.schema[key].dataType.simpleString()}, set binary, sketch binary")
+    return base.mapInArrow(run, f"node {base.schema[key].dataType.simpleString()}, set binary, short binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,15 +185,12 @@ def _lanes(x: str, y: str) -> F.Column:
 
 
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in blocks of buckets, close by signature and by sketch.
+    """Pairs (a, b) of different components in blocks of buckets, close by signature and by short form.
 
     rows: bucket, which (the bucket's key number), i, j (blocks), own (the row's block), node, component, n_shingles,
-    signature, sketch. A pair is given in the first bucket that both share alone.
+    signature, short. A pair is given in the first bucket that both share alone. A task holds two blocks of one bucket.
     """
     kind = rows.schema["node"].dataType.simpleString()
-    miss = (1 - percent / 100) * 255 / 256
-    most = int(SKETCH * miss + SIGMAS * (SKETCH * miss * (1 - miss)) ** 0.5)
-    # the largest lanes of memory here are one group's rows: two blocks of a bucket
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def pairs_of(group: list[dict]) -> Iterator[tuple]:
@@ -181,7 +200,13 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
         sign = np.array([r["signature"] for r in group], "<i8").view("<u2").reshape(len(group), SYMBOLS)
         n = np.array([r["n_shingles"] for r in group], np.int64)
         own, which, across = np.array([r["own"] for r in group]), group[0]["which"], group[0]["i"] != group[0]["j"]
-        sketch = None
+        shorts: dict[int, np.ndarray] = {}
+
+        def short(i: int) -> np.ndarray:
+            if i not in shorts:
+                shorts[i] = np.frombuffer(group[i]["short"], np.uint32)
+            return shorts[i]
+
         for k in range(len(group) - 1):
             rest = slice(k + 1, None)
             ok = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
@@ -192,12 +217,6 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             same = sign[at] == sign[k]
             near = same.sum(axis=1) >= SYMBOLS - RADIUS
-            at, same = at[near], same[near]
-            if not len(at):
-                continue
-            if sketch is None:
-                sketch = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8).reshape(len(group), SKETCH)
-            near = (sketch[at] != sketch[k]).sum(axis=1) <= most
             at, same = at[near], same[near].reshape(-1, CHUNKS, LANES)
             if not len(at):
                 continue
@@ -205,8 +224,9 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
             shared = (same.sum(axis=2)[:, :, None] - same) == LANES - 1
             first = shared.reshape(len(at), SYMBOLS).argmax(axis=1)
             for m in at[first == which].tolist():
-                x, y = group[k]["node"], group[m]["node"]
-                yield (x, y) if x < y else (y, x)
+                if _maybe(short(k), short(m), int(n[k]), int(n[m]), percent):
+                    x, y = group[k]["node"], group[m]["node"]
+                    yield (x, y) if x < y else (y, x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, name = [], None
@@ -265,7 +285,7 @@ def links(base: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count("*").alias("_m")).where("_a != _z").select("bucket", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
     rest = rest.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other"))
-    rest = rest.join(narrow, "node").join(sets.select("node", "sketch"), "node").select("bucket", "which", "i", "j", "own", "node", "component", "n_shingles", "signature", "sketch")
+    rest = rest.join(narrow, "node").join(sets.select("node", "short"), "node").select("bucket", "which", "i", "j", "own", "node", "component", "n_shingles", "signature", "short")
     more = cut(_confirm(_compare(rest, percent).distinct(), sets, percent))
     if not more.isEmpty():
         joined = cut(components(more.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b")))))
