@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from pyspark.sql import types as T
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it; expressions would grow otherwise."""
+    return F.transform(F.array(value), body)[0]
+
+
 def canon(c: Column, kind: T.DataType) -> Column:
     """The text of a value that enters hashes: one spelling for each type."""
     if isinstance(kind, T.BooleanType):

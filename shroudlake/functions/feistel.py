@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .crypto import hmac_of_hex
+from .crypto import hmac_of_hex, let
 
 DIGITS = "0123456789"
 ALPHABETS = {10: DIGITS, 16: "0123456789abcdef", 36: DIGITS + "abcdefghijklmnopqrstuvwxyz", 62: DIGITS + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -36,6 +36,7 @@ def _mod128(digest: Column, m: Column) -> Column:
 
 
 def _network(digits: Column, key: bytes, tweak: Column, rounds: int) -> Column:
+    """The network over two digits or more; digits and tweak are plain names or lambda variables."""
     n = F.length(digits)
     left, right = F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int")
     tweak_hex = F.hex(tweak.cast("binary"))
@@ -43,33 +44,46 @@ def _network(digits: Column, key: bytes, tweak: Column, rounds: int) -> Column:
 
     def step(s: Column, r: Column) -> Column:
         b = F.hex(s["b"])
-        b = F.when(F.length(b) % 2 == 1, F.concat(F.lit("0"), b)).otherwise(b)
+        b = F.concat(F.repeat(F.lit("0"), F.length(b) % 2), b)
         digest = hmac_of_hex(F.concat(F.lpad(F.hex(r.cast("long")), 4, "0"), size, tweak_hex, b), key)
-        m = F.when(r % 2 == 0, _power(left)).otherwise(_power(right))
-        return F.struct(s["b"].alias("a"), ((s["a"] + _mod128(digest, m)) % m).alias("b"))
+        m = _power(F.when(r % 2 == 0, left).otherwise(right))
+        new = let(F.struct(digest.alias("d"), m.alias("m")), lambda x: (s["a"] + _mod128(x["d"], x["m"])) % x["m"])
+        return F.struct(s["b"].alias("a"), new.alias("b"))
 
     start = F.struct(F.coalesce(F.substr(digits, F.lit(1), left).try_cast("long"), F.lit(0).cast("long")).alias("a"), F.coalesce(F.substr(digits, left + 1, right).try_cast("long"), F.lit(0).cast("long")).alias("b"))
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step)
-    first, last, x, y = (end["a"], end["b"], left, right) if rounds % 2 == 0 else (end["b"], end["a"], right, left)
-    return F.concat(F.lpad(first.cast("string"), x, "0"), F.lpad(last.cast("string"), y, "0"))
+
+    def text(end: Column) -> Column:
+        # after an odd number of rounds the halves have changed places
+        first, last = (end["a"], end["b"]) if rounds % 2 == 0 else (end["b"], end["a"])
+        return F.concat(F.lpad(first.cast("string"), left, "0"), F.lpad(last.cast("string"), right, "0"))
+
+    return let(F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step), text)
 
 
 def encrypt_digits(digits: Column, key: bytes, tweak: Column | str, rounds: int = 10) -> Column:
-    """A text of digits encrypted to one of the same length, in generated expressions.
+    """A text of digits encrypted to one of the same length, in expressions.
 
     Texts of more than 36 digits are encrypted in pieces of 36; a single digit is shifted by a keyed amount.
     """
     rounds = max(4, rounds)
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
-    shift = F.conv(F.substring(hmac_of_hex(F.concat(F.hex(tweak.cast("binary")), F.hex(digits.cast("binary"))), key), 1, 8), 16, 10).cast("long")
-    one = ((digits.try_cast("long") + shift) % 10).cast("string")
-    starts = F.sequence(F.lit(0), F.floor((F.length(digits) - 1) / PIECE).cast("int"))
-    long = F.array_join(F.transform(starts, lambda i: _network(F.substr(digits, i * PIECE + 1, F.lit(PIECE)), key, tweak, rounds)), "")
-    return F.when(F.length(digits) == 0, digits).when(F.length(digits) == 1, one).when(F.length(digits) <= PIECE, _network(digits, key, tweak, rounds)).otherwise(long)
+
+    def all_of(x: Column) -> Column:
+        d, t = x["d"], x["t"]
+        shift = F.conv(F.substring(hmac_of_hex(F.concat(F.hex(t.cast("binary")), F.hex(d.cast("binary"))), key), 1, 8), 16, 10).cast("long")
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(d) - 1) / PIECE).cast("int")), lambda i: F.substr(d, i * PIECE + 1, F.lit(PIECE)))
+        one = lambda p: F.when(F.length(p) == 1, ((p.try_cast("long") + shift) % 10).cast("string")).otherwise(_network(p, key, t, rounds))
+        return F.when(F.length(d) == 0, d).otherwise(F.array_join(F.transform(pieces, one), ""))
+
+    return let(F.struct(digits.alias("d"), tweak.alias("t")), all_of)
 
 
 def put_digits(shape: Column, digits: Column) -> Column:
     """shape with its digits replaced, in order."""
+    return let(digits, lambda d: _put(shape, d))
+
+
+def _put(shape: Column, digits: Column) -> Column:
     step = lambda s, c: F.struct(
         F.concat(s["out"], F.when(c.between("0", "9"), F.substr(digits, s["i"] + 1, F.lit(1))).otherwise(c)).alias("out"), (s["i"] + F.when(c.between("0", "9"), 1).otherwise(0)).alias("i")
     )
@@ -106,8 +120,8 @@ def encrypt_text(plain: str, key: bytes, tweak: bytes, alphabet: str, rounds: in
         b = halves[1].to_bytes(max(1, (halves[1].bit_length() + 7) // 8), "big")
         digest = hmac.digest(key, r.to_bytes(2, "big") + len(tweak).to_bytes(2, "big") + tweak + b, "sha256")
         halves = [halves[1], (halves[0] + int.from_bytes(digest[:16], "big")) % radix ** sizes[r % 2]]
-    a, b = halves if rounds % 2 == 0 else halves[::-1]
-    return text(a, sizes[0 if rounds % 2 == 0 else 1]) + text(b, sizes[1 if rounds % 2 == 0 else 0])
+    a, b = halves if rounds % 2 == 0 else halves[::-1]  # after an odd number of rounds the halves have changed places
+    return text(a, sizes[0]) + text(b, sizes[1])
 
 
 def encrypt_in_place(key: bytes, alphabet: str, rounds: int, lower: bool = False) -> object:

@@ -303,10 +303,14 @@ def text_redact(c: Column, kind: T.DataType, ctx: MaskContext, *, entities: list
     return text
 
 
+def _with_digits(text: Column, body: Any) -> Column:
+    """body(text, its digits), each computed once."""
+    return crypto.let(F.struct(text.alias("t"), checks.digits_of(text).alias("d")), lambda x: body(x["t"], x["d"]))
+
+
 def _encrypt_all_digits(text: Column, ctx: MaskContext, rounds: int = 10, tweak: str | None = None) -> Column:
-    digits = checks.digits_of(text)
     key = feistel.subkey("fpe", ctx.salt, ctx.scope)
-    return F.when(F.length(digits) == 0, text).otherwise(feistel.put_digits(text, feistel.encrypt_digits(digits, key, tweak or ctx.scope, rounds)))
+    return _with_digits(text, lambda t, d: F.when(F.length(d) == 0, t).otherwise(feistel.put_digits(t, feistel.encrypt_digits(d, key, tweak or ctx.scope, rounds))))
 
 
 @register("fpe", "format_preserving_encryption", "ff1", "ff3_1")
@@ -327,23 +331,27 @@ def fpe_credit_card(c: Column, kind: T.DataType, ctx: MaskContext, *, preserve_p
     """Encrypts the middle of card numbers and sets a valid check digit; the issuer's prefix stays."""
     preserve_prefix_len = preserve_prefix if preserve_prefix is not None else preserve_prefix_len
     preserve_suffix_len = preserve_suffix if preserve_suffix is not None else preserve_suffix_len
-    text = text_of(c, kind)
-    digits = checks.digits_of(text)
+    return _with_digits(text_of(c, kind), lambda text, digits: _card(text, digits, ctx, preserve_prefix_len, preserve_suffix_len, luhn_checksum, preserve_delimiters))
+
+
+def _card(text: Column, digits: Column, ctx: MaskContext, preserve_prefix_len: int, preserve_suffix_len: int, luhn_checksum: bool, preserve_delimiters: bool) -> Column:
     n = F.length(digits)
     first = F.greatest(F.lit(1), F.least(F.lit(preserve_prefix_len), n - 6))
     last = F.lit(1) if luhn_checksum else F.greatest(F.lit(0), F.least(F.lit(preserve_suffix_len), n - first - 2))
     key = feistel.subkey("fpe_cc", ctx.salt, ctx.scope)
     middle = feistel.encrypt_digits(F.substr(digits, first + 1, n - first - last), key, F.concat(F.lit("cc:"), first.cast("string")), 8)
     body = F.concat(F.substr(digits, F.lit(1), first), middle)
-    new = F.concat(body, checks.luhn_check_digit(body) if luhn_checksum else F.substr(digits, n - last + 1, last))
+    new = crypto.let(body, lambda b: F.concat(b, checks.luhn_check_digit(b) if luhn_checksum else F.substr(digits, n - last + 1, last)))
     return F.when(n < 12, _encrypt_all_digits(text, ctx)).otherwise(feistel.put_digits(text, new) if preserve_delimiters else new)
 
 
 @register("fpe_phone", "fpe_phone_number", "format_preserving_phone")
 def fpe_phone(c: Column, kind: T.DataType, ctx: MaskContext, *, preserve_country_code: bool = True, preserve_prefix_digits: int = 0) -> Column:
     """Encrypts phone numbers behind the country code; fewer than four digits stay."""
-    text = text_of(c, kind)
-    digits = checks.digits_of(text)
+    return _with_digits(text_of(c, kind), lambda text, digits: _phone(text, digits, ctx, preserve_country_code, preserve_prefix_digits))
+
+
+def _phone(text: Column, digits: Column, ctx: MaskContext, preserve_country_code: bool, preserve_prefix_digits: int) -> Column:
     n = F.length(digits)
     plain = F.least(F.lit(preserve_prefix_digits), n - 2) if preserve_prefix_digits > 0 else F.lit(0)
     first = F.when(F.trim(text).startswith("+"), F.when(n >= 11, n - 10).otherwise(1)).otherwise(plain) if preserve_country_code else plain
@@ -355,14 +363,20 @@ def fpe_phone(c: Column, kind: T.DataType, ctx: MaskContext, *, preserve_country
 @register("fpe_national_id", "fpe_ssn", "fpe_tckn", "format_preserving_id", presets={"fpe_ssn": {"id_type": "ssn"}, "fpe_tckn": {"id_type": "tckn"}})
 def fpe_national_id(c: Column, kind: T.DataType, ctx: MaskContext, *, id_type: str = "auto", validate_checksum: bool = True) -> Column:
     """Encrypts identity numbers: Turkish ones stay valid, social security numbers keep their dashes."""
-    text = F.trim(text_of(c, kind))
-    digits, which = checks.digits_of(text), id_type.lower()
-    n = F.length(digits)
+    return _with_digits(F.trim(text_of(c, kind)), lambda text, digits: _identity(text, digits, ctx, id_type.lower(), validate_checksum))
+
+
+def _identity(text: Column, digits: Column, ctx: MaskContext, which: str, validate_checksum: bool) -> Column:
     key = feistel.subkey("fpe_id", ctx.salt, ctx.scope)
-    nine = feistel.encrypt_digits(F.substring(digits, 1, 9), key, F.concat(F.lit("id:"), n.cast("string")), 8)
+    nine = feistel.encrypt_digits(F.substring(digits, 1, 9), key, F.concat(F.lit("id:"), F.length(digits).cast("string")), 8)
+    return crypto.let(nine, lambda x: _identity_of(text, digits, x, ctx, which, validate_checksum))
+
+
+def _identity_of(text: Column, digits: Column, nine: Column, ctx: MaskContext, which: str, validate_checksum: bool) -> Column:
+    n = F.length(digits)
     other_first = (F.conv(F.substring(F.sha2(nine, 256), 1, 4), 16, 10).cast("long") % 9 + 1).cast("string")
     turkish = F.when(F.substring(nine, 1, 1) == "0", F.concat(other_first, F.substring(nine, 2, 8))).otherwise(nine)
-    turkish = F.concat(turkish, checks.tckn_check_digits(turkish) if validate_checksum else F.substring(digits, 10, 2))
+    turkish = crypto.let(turkish, lambda x: F.concat(x, checks.tckn_check_digits(x) if validate_checksum else F.substring(digits, 10, 2)))
     dashed = F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 2), F.substring(nine, 6, 4))
     is_turkish = F.lit(True) if which == "tckn" else ~text.rlike("[-/.]") if which == "auto" else F.lit(False)
     is_social = F.lit(which in ("ssn", "auto"))
