@@ -301,7 +301,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     Null and empty texts have no shingles and stay. A row without a key isn't linked: its component is null and it stays.
     Equal texts form a class first, however many they are. Repeated rows get the same result each, so they all stay or
-    go; where one key has several texts, its links are those of all of them. An empty table gives an empty result.
+    go; where one key has several texts, each row has the links of its own text. An empty table gives an empty result.
     Other columns are left out.
     """
     base = cut(signatures(df, key, text, words))
