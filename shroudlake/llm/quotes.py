@@ -56,14 +56,19 @@ def units(own: str) -> list[str]:
 
 def _threads(edges: DataFrame) -> DataFrame:
     """(conv, turn, root, depth) from (conv, turn, parent), by pointer doubling; a parent has a smaller turn."""
-    state = cut(edges.select("conv", "turn", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    active, settled = cut(edges.select("conv", "turn", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))), None
     for _ in range(MOST_ROUNDS):
+        # a message whose root has nothing above it is done; only the others go into the next round
+        state = active if settled is None else settled.unionByName(active)
         above = state.where("depth > 0").select("conv", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        moved = state.join(above, ["conv", "root"], "left")
-        new = cut(moved.select("conv", "turn", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_root").isNotNull().alias("_moved")))
-        state = new.drop("_moved")
-        if new.where("_moved").isEmpty():
-            return state
+        moved = active.join(above, ["conv", "root"], "left")
+        moved = cut(moved.select("conv", "turn", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_root").isNotNull().alias("_moved")))
+        done = moved.where(~F.col("_moved")).drop("_moved")
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        settled = done if settled is None else settled.unionByName(done).coalesce(parts)  # unions add up their partitions
+        active = moved.where("_moved").drop("_moved")
+        if active.isEmpty():
+            return settled
     raise RuntimeError("replies don't settle")
 
 
