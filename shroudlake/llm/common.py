@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side of a join may be broadcast when it has been counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
