@@ -21,7 +21,7 @@ MAGIC = b"RPG1"
 #: Ids in a block at least (a document is never cut, so a longer one makes a longer block).
 BLOCK_IDS = 1 << 18
 #: Most rounds, most pairs a round, and the count below which a pair isn't replaced.
-ROUNDS, PAIRS, LEAST = 6, 2048, 6
+ROUNDS, PAIRS, LEAST = 5, 2048, 6
 #: Chunks whose ids a worker remembers; beyond this it starts anew.
 MEMO = 1_000_000
 
@@ -193,7 +193,7 @@ class Memo(dict):
         if len(self) > MEMO:
             self.clear()
         if isinstance(piece, str):
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
             ids = [t.id for t in self.model.tokenize(text)]
         else:
             ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -203,7 +203,7 @@ class Memo(dict):
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         text = text or ""
-        if self.plain and not _NOT_LATIN.search(text):
+        if self.plain and ("<|" not in text if text.isascii() else not _NOT_LATIN.search(text)):
             return b"".join(map(self.__getitem__, _LATIN.findall(text.lower())))
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
