@@ -107,12 +107,12 @@ class Plan:
                 continue
             fields = [df.schema[self.names[c].name] for c in columns]
             tokens = composite_tokens([_col(f.name) for f in fields], [f.dataType for f in fields], group.name, self.policy.settings.salt)
-            whole = F.lit(True)
-            for f in fields:
-                whole = whole & _col(f.name).isNotNull()
-            if self.old is not None:
-                whole = whole & ~self.old
-            df = df.withColumns({f.name: F.when(whole, t).otherwise(self._as(_col(f.name), f.dataType, df, t)) for f, t in zip(fields, tokens, strict=True)})
+            made = {}
+            for f, token in zip(fields, tokens, strict=True):
+                value = self._as(_col(f.name), f.dataType, df, token)
+                new = F.coalesce(token, value)  # a token is null if a column of the key is
+                made[f.name] = new if self.old is None else F.when(self.old, value).otherwise(new)
+            df = df.withColumns(made)
         return df
 
     def _cell(self, df: DataFrame, column: str, rule: ColumnRule, originals: dict[str, str]) -> Column:
@@ -131,7 +131,8 @@ class Plan:
             applies = more if applies is None else applies & more
         if self.old is not None:
             applies = ~self.old if applies is None else applies & ~self.old
-        if rule.keep_null:
+        if rule.keep_null and not (applies is None and lookup(name)[0].null_safe):
+            # around a branch Spark computes what it would otherwise share, so there is none without need
             applies = value.isNotNull() if applies is None else applies & value.isNotNull()
         return out if applies is None else F.when(applies, out).otherwise(self._as(value, field.dataType, df, out))
 

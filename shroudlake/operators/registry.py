@@ -55,6 +55,11 @@ class Strategy:
     description: str = ""
     presets: dict[str, dict[str, Any]] = field(default_factory=dict)
 
+    @property
+    def null_safe(self) -> bool:
+        """Whether null is known to give null, so that no test for it is needed around the expression."""
+        return self.build.__module__.startswith(__package__)
+
     def parameters(self) -> set[str]:
         return {p.name for p in inspect.signature(self.build).parameters.values() if p.kind is p.KEYWORD_ONLY}
 

@@ -15,11 +15,13 @@ from .functions import checks, synthetic
 from .operators import discovery, metrics
 from .operators.compare import policy_diff, preview
 from .operators.integrity import ForeignKey, apply_mapping, foreign_keys, orphans, unique_mapping
-from .operators.masking import budget, mask, mask_database
+from .operators.masking import budget, mask, mask_database, observed
+from .operators.registry import register_function
 from .operators.strategies import ENTITIES
 from .operators.subset import subset, subset_stats
 from .plans.policy import Policy
-from .sources.files import read_table, write_table
+from .sources.files import dry_run, read_table, write_table
+from .sources.sqldump import dump_tables, mask_dump, read_dump
 from .streaming import write_masked
 
 SALT = "registered-queries-0123456789abcdef"
@@ -678,3 +680,54 @@ def jsonl_round_trip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "nation") + ".jsonl"
     write_table(read(spark, sf_dir, "nation"), path)
     return mask(read_table(spark, path), "nation", policy("nation", n_name="mask")).select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, repeat('*', length(n_name)) AS n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def sqldump_mask_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as INSERT statements of a dump, masked as a dump and read back as a table."""
+    source, target = scratch(spark, "dump-in"), scratch(spark, "dump-out")
+    rows = read(spark, sf_dir, "nation").select(F.format_string("INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (%d, '%s', %d);", "n_nationkey", F.replace("n_name", F.lit("'"), F.lit("''")), "n_regionkey").alias("text"))
+    ddl = spark.createDataFrame([("CREATE TABLE nation (n_nationkey int PRIMARY KEY, n_name varchar(40), n_regionkey int);",)], "text string")
+    ddl.unionByName(rows).coalesce(1).write.text(source)
+    mask_dump(spark, source, target, policy("nation", n_name="mask"))
+    return dump_tables(read_dump(spark, target))["nation"]
+
+
+@query("SELECT r_regionkey::VARCHAR AS r_regionkey, substr(r_name, 1, 1) || repeat('*', length(r_name) - 1) AS r_name FROM region")
+def tsv_round_trip_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "region") + ".tsv"
+    write_table(read(spark, sf_dir, "region"), path)
+    return mask(read_table(spark, path), "region", policy("region", r_name=("mask", {"keep_first": 1})))
+
+
+@query(f"SELECT n_nationkey, (100000 + {_u64(_hmac('n_regionkey::VARCHAR'), 999900000)})::INTEGER AS n_regionkey FROM nation")
+def preserve_types_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(read(spark, sf_dir, "nation"), "nation", policy("nation", n_regionkey="hash"), type_policy="preserve").select("n_nationkey", "n_regionkey")
+
+
+@query("SELECT count(*) AS rows, count(o_custkey) + count(o_totalprice) AS cells FROM orders")
+def run_counters_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that fill while the masked rows are written."""
+    out, seen = observed(read(spark, sf_dir, "orders"), "orders", policy("orders", o_custkey="hash", o_totalprice="jitter"))
+    dry_run(out)
+    return spark.createDataFrame([(seen.get["rows"], seen.get["cells"])], "rows long, cells long")
+
+
+@query("SELECT n_nationkey, reverse(n_name) AS n_name FROM nation")
+def python_strategy_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python function as a strategy."""
+    register_function("reversed_text", lambda v: v[::-1])
+    return masked(spark, sf_dir, "nation", n_name="reversed_text").select("n_nationkey", "n_name")
+
+
+@query("SELECT page_id, regexp_replace(replace(url, '://', '://user' || page_id || ':secret@'), '^([A-Za-z][A-Za-z0-9+.-]*://[^/@:]*):[^/]*@', '\\1:***@') AS url FROM pages")
+def redact_urls_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with credentials, without the passwords."""
+    url = F.replace("url", F.lit("://"), F.concat(F.lit("://user"), F.col("page_id").cast("string"), F.lit(":secret@")))
+    return read(spark, sf_dir, "pages").select("page_id", checks.redact_url(url).alias("url"))
+
+
+@query("SELECT o_orderkey, CASE WHEN year(o_orderdate) = 1995 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders")
+def condition_sql_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule whose condition is Spark SQL."""
+    return masked(spark, sf_dir, "orders", o_totalprice={"strategy": "nullify", "condition_sql": "year(o_orderdate) = 1995"}).select("o_orderkey", "o_totalprice")

@@ -197,4 +197,5 @@ def test_redaction_is_that_of_plain_patterns(spark):
             t = re.sub(pattern, lambda m, check=check, label=label: f"[REDACTED_{label}]" if check(m[0]) else m[0], t)
         return t
 
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert run(spark, "text_redact", texts) == [plain(t) for t in texts]
