@@ -23,7 +23,7 @@ BLOCK_IDS = 1 << 18
 #: Most rounds, most pairs a round, and the count below which a pair isn't replaced.
 ROUNDS, PAIRS, LEAST = 5, 2048, 6
 #: Chunks whose ids a worker remembers; beyond this it starts anew.
-MEMO = 1_000_000
+MEMO = 400_000
 
 
 def _counts(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

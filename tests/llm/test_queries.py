@@ -22,6 +22,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     out = QUERIES[name](spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     if name in oracle_sql():
         assert_same(out, oracle_sql()[name], con)
     else:
