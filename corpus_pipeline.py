@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroudlake.llm.common import cut, scratch_path, small
+from shroudlake.llm.common import cut, discard, scratch_path, small
 from shroudlake.llm.decontam import contamination
 from shroudlake.llm.mixing import mix
 from shroudlake.llm.neardup import near_duplicates
@@ -68,9 +68,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; equal rows are one document with their copies together."""
     keyed = docs.withColumn("_key", _row_key("doc_id", "source", "text"))
     taken = mix(keyed.select("_key", "text", "source"), key="_key").where("copies > 0").groupBy("_key").agg(F.sum("copies").alias("_copies"))
-    taken = cut(taken)
     rows = _one_of_each(docs, _row_key("doc_id", "source", "text")).withColumn("_key", _row_key("doc_id", "source", "text"))
-    rows = rows.join(small(taken, taken.count()), "_key")
+    rows = rows.join(taken, "_key")  # texts are shuffled once, whatever the size
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
@@ -83,12 +82,16 @@ STAGES = [("quality rules", quality_rules), ("near duplicates", near_dedup), ("d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir; a stage's table goes when the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)  # the last stage has written its files when it returns
         if k < len(STAGES) - 1:
             path = scratch_path(spark, f"stage-{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                discard(spark, last)
+            last = path
+    discard(spark, last)
     return docs
