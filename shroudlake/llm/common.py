@@ -36,6 +36,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch between Spark and Python, where the session has Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches of texts to Python that stay small: the default would be buffers of 100 MB and more for each task."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that scratch_path named, in whatever store it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

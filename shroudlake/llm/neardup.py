@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, small_batches
 from .components import components
 
 CHUNKS, LANES = 16, 4
@@ -95,7 +95,7 @@ class Shingler:
 
 def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """The key, n_shingles, class (a digest of the normalised words; null without words) and signature (16 longs)."""
-    base = df.select(F.col(key), F.col(text))
+    base = small_batches(df).select(F.col(key), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (a, b) = Shingler(words), _seeds(SYMBOLS, 1)
@@ -142,7 +142,7 @@ def _maybe(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
 
 def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """node, set (sorted hashes) and short form of each row of df."""
-    base = df.select(F.col(key), F.col(text))
+    base = small_batches(df).select(F.col(key), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Transformed statistics of a whole text; none comes from language, source, key or labels.
 FEATURES = ["log_words", "log_chars", "word_length", "word_spread", "upper", "symbol", "digit", "end_mark", "other_mark", "non_ascii", "repeat_window", "distinct", "line_words", "dup_line"]
@@ -108,7 +108,7 @@ def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     are scored by their (zero) statistics. A null key counts as the empty text. Repeated rows stay. Without labels
     every score is that of one class alone. An empty table gives an empty result. Other columns are left out.
     """
-    base = df.select(F.col(key), F.col(text))
+    base = small_batches(df).select(F.col(key), F.col(text))
     kind = base.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, last_before
+from .common import cut, last_before, small_batches
 
 _QUOTE = re.compile(r"^((?:\s?>)+)\s?(.*)$", re.DOTALL)
 _INTRODUCTION = re.compile(r"^\S.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$")
@@ -84,7 +84,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     conversation or turn a message isn't linked, and its root is its turn. Equal messages of one turn are all kept, with
     the links of the turn. An empty table gives an empty result. Other columns are left out.
     """
-    base = df.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    base = small_batches(df).select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     schema = "conv long, turn long, role string, text string, levels array<int>, passages array<string>, units array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

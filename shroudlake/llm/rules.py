@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: What is measured once for each text; the ledger keeps all of it.
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 
@@ -80,7 +82,7 @@ def ledger(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[
     table gives an empty ledger. Other columns are left out.
     """
     first = list(dict.fromkeys([key, *carry]))
-    kept = df.select(*first, *([text] if text not in first else []))
+    kept = small_batches(df).select(*first, *([text] if text not in first else []))
     fields = [f for f in kept.schema.fields if f.name in first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

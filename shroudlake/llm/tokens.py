@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path
+from .common import scratch_path, small_batches
 
 MAGIC = b"RPG1"
 #: Ids in a block at least (a document is never cut, so a longer one makes a longer block).
@@ -23,7 +23,7 @@ BLOCK_IDS = 1 << 18
 #: Most rounds, most pairs a round, and the count below which a pair isn't replaced.
 ROUNDS, PAIRS, LEAST = 5, 2048, 6
 #: Chunks whose ids a worker remembers; beyond this it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 def _counts(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +223,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", tex
     Rows with equal keys keep slots of their own, by text. An empty table writes no block.
     """
     kind = df.schema[key].dataType
-    rows = df.select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+    rows = small_batches(df).select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
     arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     names = ["shard", "block", "n_ids", "keys", "blob"]
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash60
+from .common import cut, hash60, small_batches
 from .quality import FEATURES, statistics
 
 #: Most labelled rows that are learned from for each combination of categories: those with the lowest hashes.
@@ -197,7 +197,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, categories: dict[str, str]
     toxic is false. Repeated rows stay. An empty table gives an empty result. Other columns are left out.
     """
     categories = categories or {"low_quality": "quality = 0", "toxic": "toxic = 1"}
-    chain = fit(df, labels, categories, key, text)
+    chain = fit(small_batches(df), labels, categories, key, text)
     base = df.select(F.col(key), F.col(text))
     names = [f"p_{c}" for c in categories]
 
