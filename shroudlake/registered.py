@@ -47,6 +47,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small file is one partition, which costly expressions would keep on one core. Large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def policy(table: str | None = None, groups: list[dict] | None = None, tables: dict[str, Any] | None = None, **rules: Any) -> Policy:
     """A policy: a rule is a strategy's name, or (name, parameters), or a whole rule."""
     full = lambda r: r if isinstance(r, dict) else {"strategy": r} if isinstance(r, str) else {"strategy": r[0], "params": r[1]}
@@ -57,7 +63,7 @@ def policy(table: str | None = None, groups: list[dict] | None = None, tables: d
 
 
 def masked(spark: SparkSession, sf_dir: str, table: str, **rules: Any) -> DataFrame:
-    return mask(read(spark, sf_dir, table), table, policy(table, **rules))
+    return mask(spread(read(spark, sf_dir, table)), table, policy(table, **rules))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -387,7 +393,7 @@ def _feistel_sql(table: str, key_col: str, digits: str, key: bytes, tweak: str,
 
 @query(_feistel_sql("orders", "o_orderkey", "lpad((o_orderkey * 104729)::VARCHAR, 12, '0')", hashlib.sha256(f"fpe:{SALT}:orders.number".encode()).digest(), "orders.number", 10))
 def fpe_digits_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "orders").withColumn("number", F.lpad((F.col("o_orderkey") * 104729).cast("string"), 12, "0"))
+    df = spread(read(spark, sf_dir, "orders")).withColumn("number", F.lpad((F.col("o_orderkey") * 104729).cast("string"), 12, "0"))
     return mask(df, "orders", policy("orders", number="fpe")).select("o_orderkey", "number")
 
 
