@@ -48,10 +48,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Repeated rows of one document are one; a row without id isn't linked and stays.
+    Where one id has several texts, each stays or goes by the verdict on itself. Repeated rows of one document are one;
+    a row without id isn't linked and stays.
     """
-    dropped = cut(near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
-    kept = docs.join(small(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", _row_key("doc_id", "text"))
+    dropped = cut(near_duplicates(keyed, words=5, percent=80, carry=("_key",)).where(~F.col("kept")).select("_key").distinct())
+    kept = keyed.join(small(dropped, dropped.count()), "_key", "left_anti").select(*docs.columns)
     return _one_of_each(kept, _row_key("doc_id", "text"))
 
 

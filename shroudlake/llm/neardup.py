@@ -93,9 +93,9 @@ class Shingler:
             return _mix(low)
 
 
-def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """The key, n_shingles, class (a digest of the normalised words; null without words) and signature (16 longs)."""
-    base = small_batches(df).select(F.col(key), F.col(text))
+def signatures(df: DataFrame, key: str, text: str, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The key, n_shingles, class (a digest of the normalised words; null without words), signature (16 longs) and carry."""
+    base = small_batches(df).select(F.col(key), F.col(text), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (a, b) = Shingler(words), _seeds(SYMBOLS, 1)
@@ -109,9 +109,10 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 if split:
                     signs[i] = (shingler.minima(found, a, b) >> np.uint64(48)).astype("<u2").view("<i8")
             offsets = pa.array(np.arange(0, (batch.num_rows + 1) * CHUNKS, CHUNKS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(signs.ravel()))], names=[key, "n_shingles", "class", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(signs.ravel())), *batch.columns[2:]], names=[key, "n_shingles", "class", "signature", *carry])
 
-    return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, n_shingles long, class binary, signature array<long>")
+    carried = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
+    return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, n_shingles long, class binary, signature array<long>{carried}")
 
 
 def _short(shingles: np.ndarray) -> np.ndarray:
@@ -292,7 +293,7 @@ def links(base: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     return joined
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of near-duplicate texts: the key, n_shingles, component_id and kept (the key is the component's).
 
     Texts are lower-cased (A-Z), split at ASCII white space and taken as sets of shingles of `words` words; a shorter
@@ -302,15 +303,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Null and empty texts have no shingles and stay. A row without a key isn't linked: its component is null and it stays.
     Equal texts form a class first, however many they are. Repeated rows get the same result each, so they all stay or
     go; where one key has several texts, each row has the links of its own text. An empty table gives an empty result.
-    Other columns are left out.
+    Other columns than those of carry, which come last, are left out.
     """
-    base = cut(signatures(df, key, text, words))
+    base = cut(signatures(df, key, text, words, carry))
     joined = links(base, df, key, text, words, percent)
     first = base.where(F.col("class").isNotNull() & F.col(key).isNotNull()).groupBy("class").agg(F.min(key).alias("node"))
     if joined is not None:
         first = first.join(joined, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     else:
         first = first.select("class", F.col("node").alias("component_id"))
-    out = base.select(key, "n_shingles", "class").join(first, "class", "left")
+    out = base.select(key, "n_shingles", "class", *carry).join(first, "class", "left")
     component = F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id")
-    return out.select(key, "n_shingles", component).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.select(key, "n_shingles", component, *carry).select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"), *carry)

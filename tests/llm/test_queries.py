@@ -10,6 +10,7 @@ import pytest
 from shroudlake.llm.queries import QUERIES, oracle_sql
 
 from ..against import SF, assert_same, database
+from .conftest import ROWS
 from .test_matching_operators import leaks_slowly, near_slowly
 from .test_simple_operators import measure_slowly
 
@@ -81,3 +82,10 @@ def test_pipeline_of_edge_rows(spark, docs, empty):
     assert pipeline.near_dedup(spark, docs, SF).where("doc_id = 3").count() == 1
     tokens = pipeline.token_output(spark, docs, SF)
     assert tokens.count() == docs.count()
+
+
+def test_near_dedup_drops_rows_not_ids(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect())
+    assert got[(7, "another text under the same key")] == 1 and got[(7, ROWS[0][1])] == 0 and got[(3, ROWS[0][1])] == 1
+    assert set(got) == {(i, t) for i, t, _ in ROWS} - {(7, ROWS[0][1]), (10, ROWS[9][1]), (12, ROWS[12][1])} and set(got.values()) == {1}
