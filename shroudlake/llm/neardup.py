@@ -94,8 +94,9 @@ class Shingler:
 
 
 def signatures(df: DataFrame, key: str, text: str, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The key, n_shingles, class (a digest of the normalised words; null without words), signature (16 longs) and carry."""
-    base = small_batches(df).select(F.col(key), F.col(text), *carry)
+    """The key, n_shingles, class (a digest of the normalised words; null without words), signature (16 longs), row (a hash of
+    key and text) and carry."""
+    base = small_batches(df).select(F.col(key), F.col(text), F.xxhash64(key, text).alias("row"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (a, b) = Shingler(words), _seeds(SYMBOLS, 1)
@@ -109,10 +110,10 @@ def signatures(df: DataFrame, key: str, text: str, words: int, carry: tuple[str,
                 if split:
                     signs[i] = (shingler.minima(found, a, b) >> np.uint64(48)).astype("<u2").view("<i8")
             offsets = pa.array(np.arange(0, (batch.num_rows + 1) * CHUNKS, CHUNKS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(signs.ravel())), *batch.columns[2:]], names=[key, "n_shingles", "class", "signature", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(signs.ravel())), *batch.columns[2:]], names=[key, "n_shingles", "class", "signature", "row", *carry])
 
     carried = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in carry)
-    return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, n_shingles long, class binary, signature array<long>{carried}")
+    return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, n_shingles long, class binary, signature array<long>, row long{carried}")
 
 
 def _short(shingles: np.ndarray) -> np.ndarray:
@@ -141,17 +142,22 @@ def _maybe(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
     return common / union >= share - SIGMAS * (share * (1 - share) / union) ** 0.5
 
 
-def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """node, set (sorted hashes) and short form of each row of df."""
-    base = small_batches(df).select(F.col(key), F.col(text))
+def _sets(df: DataFrame, text: str, words: int) -> DataFrame:
+    """node, set (sorted hashes) and short form of each row of df (node, class, text) whose text is of the class."""
+    base = small_batches(df).select("node", "class", F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            found = [shingler.shingles(shingler.split(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_short(x).tobytes() for x in found], pa.binary())], names=["node", "set", "short"])
+            nodes, found = [], []
+            for node, name, t in zip(*batch.columns, strict=True):
+                split = shingler.split(t.as_py())
+                if hashlib.md5(b" ".join(split)).digest() == name.as_py():
+                    nodes.append(node.as_py())
+                    found.append(shingler.shingles(split))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_short(x).tobytes() for x in found], pa.binary())], names=["node", "set", "short"])
 
-    return base.mapInArrow(run, f"node {base.schema[key].dataType.simpleString()}, set binary, short binary")
+    return base.mapInArrow(run, "node long, set binary, short binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,9 +265,18 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def links(base: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame | None:
-    """(node, component) of the classes of equal words that have links; a class is named by its smallest key."""
-    reps = cut(base.where(F.col("class").isNotNull() & F.col(key).isNotNull()).groupBy("class").agg(F.min(key).alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")).drop("class"))
+def classes(base: DataFrame, key: str) -> DataFrame:
+    """Each class of equal words with a number of its own (node), its smallest key and one of its rows.
+
+    Numbers stand for digests to keep joins narrow; they are those of a checkpoint, so they last.
+    """
+    found = base.where(F.col("class").isNotNull() & F.col(key).isNotNull()).groupBy("class")
+    found = found.agg(F.min(key).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("row").alias("row"))
+    return cut(found.withColumn("node", F.monotonically_increasing_id()))
+
+
+def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame | None:
+    """(node, component) of the classes that have links; reps is from classes."""
     keys = []
     for c in range(CHUNKS):
         for j in range(LANES):
@@ -270,12 +285,13 @@ def links(base: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     keyed = reps.select("node", F.explode(F.array(*keys)).alias("_k")).select("node", "_k.which", "_k.bucket")
     buckets = keyed.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("_n")).where("_n > 1").select("bucket", "lead")
     members = cut(keyed.join(buckets, "bucket"))
-    nodes = cut(members.select("node").distinct())
+    nodes = cut(members.select("node").distinct().join(reps.select("node", "class", "row"), "node"))
     n_nodes = nodes.count()
     if not n_nodes:
         return None
-    sets = cut(_sets(df.join(small(nodes.withColumnRenamed("node", key), n_nodes), key, "left_semi"), key, text, words))
-    narrow = reps.join(small(nodes, n_nodes), "node", "left_semi")
+    rows = df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
+    sets = cut(_sets(rows.join(small(nodes, n_nodes), "row"), "text", words))
+    narrow = reps.join(small(nodes.select("node"), n_nodes), "node", "left_semi")
     side = lambda n: narrow.select(F.col("node").alias(n), F.col("n_shingles").alias(f"_n{n}"), F.col("signature").alias(f"_s{n}"))
     stars = members.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_lanes("_sa", "_sb") <= RADIUS))
@@ -306,12 +322,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Other columns than those of carry, which come last, are left out.
     """
     base = cut(signatures(df, key, text, words, carry))
-    joined = links(base, df, key, text, words, percent)
-    first = base.where(F.col("class").isNotNull() & F.col(key).isNotNull()).groupBy("class").agg(F.min(key).alias("node"))
+    reps = classes(base, key)
+    joined = links(reps, df, key, text, words, percent)
+    first = reps.select("class", F.col("key").alias("component_id"))
     if joined is not None:
-        first = first.join(joined, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
-    else:
-        first = first.select("class", F.col("node").alias("component_id"))
+        linked = cut(reps.select("node", "key").join(joined, "node"))
+        least = cut(linked.groupBy("component").agg(F.min("key").alias("least")))
+        least = linked.select("node", "component").join(small(least), "component").select("node", "least")
+        first = reps.select("node", "class", "key").join(least, "node", "left").select("class", F.coalesce("least", "key").alias("component_id"))
     out = base.select(key, "n_shingles", "class", *carry).join(first, "class", "left")
     component = F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id")
     return out.select(key, "n_shingles", component, *carry).select(key, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"), *carry)

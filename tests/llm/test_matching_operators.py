@@ -134,6 +134,16 @@ def test_near_duplicates_of_edge_rows(docs, empty):
     assert near_duplicates(empty).collect() == []
 
 
+def test_texts_of_one_key_have_links_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (2, a + " more"), (9, b + " more"), (5, b.upper()), (1, c), (9, c + " more"), (None, a)]
+    for kind, name in (("long", int), ("string", str)):
+        df = spark.createDataFrame([(None if k is None else name(k), t, i) for i, (k, t) in enumerate(rows)], f"doc_id {kind}, text string, place int")
+        out = {r.place: (r.component_id, r.kept) for r in near_duplicates(df.repartition(3), carry=("place",)).collect()}
+        want = [(2, False), (5, True), (2, True), (5, False), (5, True), (1, True), (1, False)]
+        assert out == {i: (name(k), kept) for i, (k, kept) in enumerate(want)} | {7: (None, True)}
+
+
 def leaks_slowly(rows, items, window=8):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     wins = defaultdict(set)
