@@ -6,7 +6,8 @@ allowed error of each chunk (the chunk without one of its symbols: 64 keys a tex
 Jaccard similarity 0.8 differs in 12.8 symbols on average, and in more than 31 with a probability below 1e-6.
 
 Within a bucket pairs aren't all written out. Each member is first compared with the smallest one; what that doesn't
-join is compared in blocks of bounded size inside tasks, on short forms of the sets, and only pairs that pass are written.
+join is compared in blocks of bounded size inside tasks, on short forms of the sets (by signatures alone where a set is
+large), and only pairs that pass are written.
 All links are confirmed on full shingle sets.
 """
 
@@ -127,7 +128,9 @@ def _halvings(n: int) -> int:
 
 
 def _maybe(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
-    """Whether sets of n and m shingles with short forms p and q can have the similarity; never false by chance."""
+    """Whether sets of n and m shingles with short forms p and q can have the similarity.
+
+    Never false for such a pair if both have all their shingles (SHORT at most); an estimate from samples can be."""
     halvings = max(_halvings(n), _halvings(m))
     if halvings:
         p, q = (x[: np.searchsorted(x, 1 << (32 - halvings))] for x in (p, q))
@@ -196,6 +199,7 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
 
     rows: bucket, which (the bucket's key number), i, j (blocks), own (the row's block), node, component, n_shingles,
     signature, short. A pair is given in the first bucket that both share alone. A task holds two blocks of one bucket.
+    A pair with a set of more than SHORT shingles is given by its signatures alone, since samples could lose a link.
     """
     kind = rows.schema["node"].dataType.simpleString()
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -231,7 +235,7 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
             shared = (same.sum(axis=2)[:, :, None] - same) == LANES - 1
             first = shared.reshape(len(at), SYMBOLS).argmax(axis=1)
             for m in at[first == which].tolist():
-                if _maybe(short(k), short(m), int(n[k]), int(n[m]), percent):
+                if max(n[k], n[m]) > SHORT or _maybe(short(k), short(m), int(n[k]), int(n[m]), percent):
                     x, y = group[k]["node"], group[m]["node"]
                     yield (x, y) if x < y else (y, x)
 

@@ -123,6 +123,14 @@ def test_short_forms_never_refuse_a_close_pair():
         assert not neardup._maybe(neardup._short(x), neardup._short(z), n, n, 80)
 
 
+@pytest.mark.parametrize(("n", "given"), [(1000, False), (1200, True)])
+def test_samples_of_large_sets_drop_no_pair(spark, n, given):
+    """Two sets whose samples have nothing in common, though as many shingles outside of them may be the same."""
+    rows = [(1, 0, 0, 0, 0, i, i, n, [7] * neardup.CHUNKS, np.arange(i * 600, i * 600 + 600, dtype=np.uint32).tobytes()) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "bucket long, which byte, i int, j int, own int, node long, component long, n_shingles long, signature array<long>, short binary")
+    assert [tuple(x) for x in neardup._compare(df, 80).collect()] == ([(1, 2)] if given else [])
+
+
 def test_near_duplicates_of_edge_rows(docs, empty):
     out = near_duplicates(docs, words=4).collect()
     assert len(out) == len(ROWS)
