@@ -20,8 +20,8 @@ from .common import scratch_path, small_batches
 MAGIC = b"RPG1"
 #: Ids in a block at least (a document is never cut, so a longer one makes a longer block).
 BLOCK_IDS = 1 << 18
-#: Most rounds, most pairs a round, and the count below which a pair isn't replaced.
-ROUNDS, PAIRS, LEAST = 5, 2048, 6
+#: Most pairs a round, and the count below which a pair isn't replaced: a rule takes 8 bytes, an occurrence saves 2.
+PAIRS, LEAST = 2048, 4
 #: Chunks whose ids a worker remembers; beyond this it starts anew.
 MEMO = 1_000_000
 
@@ -37,13 +37,12 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(sequence, rules, lengths): the grammar of ids, all below base.
 
     Each round counts the adjacent pairs and replaces the most frequent ones by new symbols, base, base + 1, ...;
-    pairs of one round share no symbol in a way that lets their occurrences overlap. Rule k is a row (left, right) of
+    pairs of one round share no symbol in a way that lets their occurrences overlap. Rounds end when no pair occurs
+    LEAST times, or when 16 bits have no symbol left. Rule k is a row (left, right) of
     symbols below base + k; lengths[k] is the number of ids that it expands to.
     """
     seq, rules, size = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         pairs, kinds, counts = _counts(seq)
         shift = 16 if kinds.dtype == np.uint32 else 32
         often = np.flatnonzero(counts >= LEAST)

@@ -211,3 +211,15 @@ def test_token_files(spark, docs, empty, tables, monkeypatch, tmp_path):
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (key, start, len(ids), zlib.crc32(ids.tobytes()))
             start += len(ids)
     assert tokens.token_ids(empty, tokenizer_path()).collect() == []
+
+
+def test_grammars_replace_every_frequent_pair():
+    rng = np.random.default_rng(7)
+    once = rng.integers(0, 50_000, 400, dtype=np.uint32)
+    for ids in (np.tile(once, 4), np.tile(once[:5], 20_000), rng.integers(0, 300, 60_000, dtype=np.uint32)):
+        seq, rules, size = tokens.compress(ids, 50_000)
+        assert (tokens.expand(seq, tokens.unfold(rules, size, 50_000)) == ids).all()
+        apart = seq[:-1] != seq[1:]  # pairs of one symbol overlap in a run
+        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:])[apart]
+        assert not len(pairs) or np.unique(pairs, return_counts=True)[1].max() < 4
+    assert size.max() >= 2 and tokens.compress(np.tile(once[:5], 20_000), 50_000)[2].max() > 1000
