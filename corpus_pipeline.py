@@ -19,6 +19,9 @@ from shroudlake.llm.tokens import token_ids
 #: Token ids can't be computed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
+#: Per cent of an item's windows that are a leak of it.
+LEAK_SHARE = 50
+
 
 def _row_key(*columns: str) -> Column:
     """A name for rows with equal columns, never null."""
@@ -58,11 +61,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item: a corpus for training is stricter than the operator's verdict,
-    which needs two items, since one whole item is a leak already."""
+    """Documents that aren't contaminated by the operator's verdict (two items) and hold no item of eight words or more
+    by half of its windows at least: one such item is a leak already, while a chance window or a short item isn't."""
     keyed = docs.withColumn("_key", _row_key("doc_id", "text"))
-    found = contamination(keyed.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key")
-    leaked = cut(found.where("n_items > 0").select("_key").distinct())
+    found = contamination(keyed.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_key", share=LEAK_SHARE)
+    leaked = cut(found.where("contaminated OR n_most > 0").select("_key").distinct())
     return keyed.join(small(leaked, leaked.count()), "_key", "left_anti").select(*docs.columns)
 
 

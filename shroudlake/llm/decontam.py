@@ -37,13 +37,14 @@ def _windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     return starts.select("item", _part("_w", F.col("_i"), F.col("length")).alias("window"), "length").distinct()
 
 
-def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, min_items: int = 2) -> DataFrame:
+def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, min_items: int = 2, share: int | None = None) -> DataFrame:
     """What each document shares with a benchmark.
 
     Texts are lower-cased (A-Z) and split into words; a window is `window` consecutive words of an item, or all of a
     shorter item. Returns the key, n_words, n_hit (words inside any occurrence of a window), n_items (items with a
     window that occurs), items_sha256 (of the item ids as strings, sorted, joined by commas) and contaminated
-    (n_items >= min_items).
+    (n_items >= min_items). With a share, also n_most: item texts of `window` words at least of whose windows that
+    many per cent occur.
 
     Null and empty texts have no words and no hits. Items without words or id count for nothing; items may share
     windows. Repeated rows each get the full result; rows with equal keys and other texts are kept apart; a null key
@@ -97,5 +98,12 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     n_items = n_items.groupBy(*doc).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     out = found.where("at < 0").select(key, *doc, "n_words").join(n_hit, doc, "left").join(n_items, doc, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = out.select(key, "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    extra = []
+    if share is not None:
+        name = F.sha2(F.concat_ws("|", F.col(item).cast("string"), F.col(item_text)), 256)  # one id may have several texts
+        texts = cut(_windows(items.where(F.col(item).isNotNull()).select(name.alias("item"), F.col(item_text).alias("text")), "item", "text", window).where(F.col("length") == window))
+        most = occurs.select(*doc, "window").distinct().join(small(texts.select("window", "item")), "window").groupBy(*doc, "item").agg(F.count("*").alias("_n"))
+        most = most.join(small(texts.groupBy("item").agg(F.count("*").alias("_of"))), "item").where(100 * F.col("_n") >= share * F.col("_of"))
+        out, extra = out.join(most.groupBy(*doc).agg(F.count("*").alias("n_most")), doc, "left"), [zero("n_most")]
+    out = out.select(key, "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), *extra)
     return out.withColumn("contaminated", F.col("n_items") >= min_items)

@@ -89,3 +89,13 @@ def test_near_dedup_drops_rows_not_ids(spark, docs):
     got = Counter((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect())
     assert got[(7, "another text under the same key")] == 1 and got[(7, ROWS[0][1])] == 0 and got[(3, ROWS[0][1])] == 1
     assert set(got) == {(i, t) for i, t, _ in ROWS} - {(7, ROWS[0][1]), (10, ROWS[9][1]), (12, ROWS[12][1])} and set(got.values()) == {1}
+
+
+def test_decontamination_needs_an_item_not_a_chance_window(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long, other = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    items = [(1, long), (2, "the"), (3, "two words"), (4, other), (4, "one two three four five six seven eight")]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "x " + long + " y"), (2, "the clean one"), (3, " ".join(long.split()[:8])), (4, "the two words"), (5, other), (6, "one two three four five six seven eight"), (7, " ".join(long.split()[:14])), (8, None), (None, long)]
+    kept = pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3, 8]
