@@ -54,6 +54,11 @@ def units(own: str) -> list[str]:
     return sorted({d for part in [own, *re.split(r"\n\s*\n", own)] if (d := digest(part))})
 
 
+def parts(passage: str) -> dict[str, int]:
+    """The hashes by which a passage is looked for, with their words: as a whole, and by paragraph."""
+    return {d: len(part.split()) for part in [*re.split(r"\n\s*\n", passage), passage] if (d := digest(part))}
+
+
 def _threads(edges: DataFrame) -> DataFrame:
     """(conv, turn, root, depth) from (conv, turn, parent), by pointer doubling; a parent has a smaller turn."""
     active, settled = cut(edges.select("conv", "turn", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))), None
@@ -76,7 +81,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """Messages without their quotes, each with the message that it answers.
 
     A quoted passage is linked to the latest earlier message of its conversation that has it, as a whole or as a
-    paragraph, up to case and white space. The parent is the message of the outermost linked passage (the latest, if
+    paragraph, up to case and white space; if none has it, then by the longest of its paragraphs that one has. The parent is the message of the outermost linked passage (the latest, if
     several); root and depth follow from parents, so ordering by (conv, root, depth, turn) gives reply order.
 
     Returns conv_id, turn, role, text (own text alone), n_levels (deepest quote), n_quotes (passages), n_linked, parent,
@@ -85,24 +90,27 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     the links of the turn. An empty table gives an empty result. Other columns are left out.
     """
     base = small_batches(df).select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    schema = "conv long, turn long, role string, text string, levels array<int>, passages array<string>, units array<string>"
+    schema = "conv long, turn long, role string, text string, levels array<int>, passages array<struct<hash:string,words:int,at:int,level:int,run:string>>, units array<string>"
+
+    kind = pa.struct([("hash", pa.string()), ("words", pa.int32()), ("at", pa.int32()), ("level", pa.int32()), ("run", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [parse(t.as_py()) for t in batch.column(3)]
             levels = [[level for level, p in q if digest(p)] for _, q in parsed]
-            hashes = [[d for _, p in q if (d := digest(p))] for _, q in parsed]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([own for own, _ in parsed], pa.string()), pa.array(levels, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.string())), pa.array([units(own) for own, _ in parsed], pa.list_(pa.string()))], names=["conv", "turn", "role", "text", "levels", "passages", "units"])
+            hashes = [[{"hash": h, "words": n, "at": i, "level": level, "run": d} for i, (level, p) in enumerate(q) if (d := digest(p)) for h, n in parts(p).items()] for _, q in parsed]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([own for own, _ in parsed], pa.string()), pa.array(levels, pa.list_(pa.int32())), pa.array(hashes, pa.list_(kind)), pa.array([units(own) for own, _ in parsed], pa.list_(pa.string()))], names=["conv", "turn", "role", "text", "levels", "passages", "units"])
 
     messages = cut(base.mapInArrow(run, schema))
     known = messages.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
-    quoted = known.select("conv", "turn", F.explode(F.arrays_zip("levels", "passages")).alias("_q")).select("conv", "turn", F.col("_q.passages").alias("hash"), F.col("_q.levels").alias("level"), F.lit(0).alias("original"))
+    quoted = known.select("conv", "turn", F.inline("passages")).groupBy("conv", "turn", "hash", "words", "at", "level", "run").agg(F.count("*").alias("_same")).withColumn("original", F.lit(0))
     # only hashes that somebody quotes in the conversation matter
     wanted = quoted.select("conv", "hash").distinct()
-    sources = known.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, ["conv", "hash"], "left_semi").select("conv", "turn", "hash", F.lit(None).cast("int").alias("level"), F.lit(1).alias("original")).distinct()
-    events = quoted.unionByName(sources).withColumn("_group", F.concat_ws("|", "conv", "hash"))
+    sources = known.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, ["conv", "hash"], "left_semi").select("conv", "turn", "hash", F.lit(1).alias("original")).distinct()
+    events = quoted.unionByName(sources, allowMissingColumns=True).withColumn("_group", F.concat_ws("|", "conv", "hash"))
     found = last_before(events, "_group", ["turn", "original"], F.when(F.col("original") == 1, F.col("turn")), "_parent").where("original = 0 AND _parent IS NOT NULL")
-    linked = found.groupBy("conv", "turn").agg(F.min_by("_parent", F.struct("level", -F.col("_parent"))).alias("parent"), F.count("*").alias("_linked"))
+    found = found.groupBy("conv", "turn", "at", "level", "run").agg(F.min_by("_parent", F.struct(-F.col("words"), -F.col("_parent"))).alias("_parent"), F.max("_same").alias("_same"))
+    linked = found.groupBy("conv", "turn").agg(F.min_by("_parent", F.struct("level", -F.col("_parent"))).alias("parent"), F.sum("_same").alias("_linked"))
     copies = known.groupBy("conv", "turn").agg(F.count("*").alias("_copies"))
     edges = cut(copies.join(linked, ["conv", "turn"], "left"))
     threads = _threads(edges).join(edges.select("conv", "turn", "parent", (F.col("_linked") / F.col("_copies")).cast("long").alias("_linked")), ["conv", "turn"])

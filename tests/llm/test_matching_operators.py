@@ -263,6 +263,13 @@ def test_links(spark):
     assert out[(1, 2)].text == "Again" and link_quotes(df).count() == len(rows) and link_quotes(df.limit(0)).collect() == []
 
 
+def test_parts_of_messages_are_linked(spark):
+    texts = ["Hi\n\nfirst point here\n\nsecond point here\n\nthird point", "Hi\n\nother matter", "no\n> Hi\n>\n> first point here\nyes\n> third point", "so\n\nand so\n> other matter\nfine", "x\n> so\n> \n> and so", "y\n> none\n> \n> at all"]
+    df = spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(texts)] + [(1, 2, "u", texts[2])], "conv_id long, turn long, role string, text string")
+    got = sorted({(r.turn, r.parent, r.n_quotes, r.n_linked) for r in link_quotes(df).collect()})
+    assert got == [(0, None, 0, 0), (1, None, 0, 0), (2, 0, 2, 2), (3, 1, 1, 1), (4, 3, 1, 1), (5, None, 1, 0)]
+
+
 def test_long_threads(spark):
     df = spark.range(70).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("message "), F.col("id").cast("string")).alias("text"))
     assert all(r.depth == r.turn and r.root == 0 for r in link_quotes(as_mail(df)).collect())
