@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,19 +11,12 @@ from pyspark.sql.window import Window
 
 from ..functions.crypto import canon, hmac_sha256, u64_mod
 from ..plans.policy import ConsistencyGroup, normal
+from ..shared import durable
 
 #: Rounds after which a range is too full for new numbers to be found in reasonable time.
 MOST_ROUNDS = 200
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names, else in one of our own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def unique_mapping(values: DataFrame, column: str, salt: str, min_int: int = 100000, max_int: int = 999999999, known: DataFrame | None = None) -> DataFrame:
     """(value, token): a different number for each distinct value, as text, independent of row order and partitions.
 

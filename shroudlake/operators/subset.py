@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .integrity import ForeignKey, durable, normal
+from ..plans.policy import normal
+from ..shared import durable
+from .integrity import ForeignKey
 
 
 def _ordered(tables: set[str], keys: list[ForeignKey]) -> list[str]:

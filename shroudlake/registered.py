@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -20,6 +18,7 @@ from .operators.registry import register_function
 from .operators.strategies import ENTITIES
 from .operators.subset import subset, subset_stats
 from .plans.policy import Policy
+from .shared import scratch_path
 from .sources.files import dry_run, read_table, write_table
 from .sources.sqldump import dump_tables, mask_dump, read_dump
 from .streaming import write_masked
@@ -66,14 +65,6 @@ def masked(spark: SparkSession, sf_dir: str, table: str, **rules: Any) -> DataFr
     return mask(spread(read(spark, sf_dir, table)), table, policy(table, **rules))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 # How the same is said in DuckDB.
 
 
@@ -664,7 +655,7 @@ _STREAM = f"SELECT event_id, 100000 + {_u64(_hmac('user_id::VARCHAR'), 999900000
 @query(_STREAM)
 def stream_mask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream, masked into files, gives what the table gives."""
-    table, out, saved = f"{sf_dir}/events.parquet", scratch(spark, "stream-out"), scratch(spark, "stream-checkpoint")
+    table, out, saved = f"{sf_dir}/events.parquet", scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
     schema = spark.read.parquet(table).schema
     # a folder with one table's files: the stream's own pattern keeps other tables away
     folder, name = table.rsplit("/", 1)
@@ -676,14 +667,14 @@ def stream_mask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey::VARCHAR AS n_nationkey, repeat('*', length(n_name)) AS n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def csv_round_trip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "nation") + ".csv"
+    path = scratch_path(spark, "nation") + ".csv"
     write_table(read(spark, sf_dir, "nation"), path)
     return mask(read_table(spark, path), "nation", policy("nation", n_name="mask"))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, repeat('*', length(n_name)) AS n_name FROM nation")
 def jsonl_round_trip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "nation") + ".jsonl"
+    path = scratch_path(spark, "nation") + ".jsonl"
     write_table(read(spark, sf_dir, "nation"), path)
     return mask(read_table(spark, path), "nation", policy("nation", n_name="mask")).select("n_nationkey", "n_name")
 
@@ -691,7 +682,7 @@ def jsonl_round_trip_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, repeat('*', length(n_name)) AS n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def sqldump_mask_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as INSERT statements of a dump, masked as a dump and read back as a table."""
-    source, target = scratch(spark, "dump-in"), scratch(spark, "dump-out")
+    source, target = scratch_path(spark, "dump-in"), scratch_path(spark, "dump-out")
     rows = read(spark, sf_dir, "nation").select(F.format_string("INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (%d, '%s', %d);", "n_nationkey", F.replace("n_name", F.lit("'"), F.lit("''")), "n_regionkey").alias("text"))
     ddl = spark.createDataFrame([("CREATE TABLE nation (n_nationkey int PRIMARY KEY, n_name varchar(40), n_regionkey int);",)], "text string")
     ddl.unionByName(rows).coalesce(1).write.text(source)
@@ -701,7 +692,7 @@ def sqldump_mask_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT r_regionkey::VARCHAR AS r_regionkey, substr(r_name, 1, 1) || repeat('*', length(r_name) - 1) AS r_name FROM region")
 def tsv_round_trip_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "region") + ".tsv"
+    path = scratch_path(spark, "region") + ".tsv"
     write_table(read(spark, sf_dir, "region"), path)
     return mask(read_table(spark, path), "region", policy("region", r_name=("mask", {"keep_first": 1})))
 
