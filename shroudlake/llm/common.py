@@ -1,63 +1,32 @@
-"""What the training-data operators share: checkpoints, bounded joins, distributed running sums."""
+"""What the training-data operators share: bounded joins, distributed running sums, as-of joins."""
 
 from __future__ import annotations
 
-import math
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A word, for the operators that split at ASCII white space alone.
-WORD = r"[^\x20\x09-\x0D]+"
-
-#: A side of a join may be broadcast when it has been counted and has no more rows than this.
-BROADCAST_ROWS = 100_000
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's setting, else a folder of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the shared folder: computed once, safe when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, for a table that a job writes and reads again."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Rows of a batch between Spark and Python, where the session has Spark's default of 10,000.
-BATCH_ROWS = 1000
+from ..shared import checkpoint_dir, discard, scratch_path  # noqa: F401  (modules here take them from this one)
+from ..shared import durable as cut
 
+#: A word, for the operators that split at ASCII white space alone.
+WORD = r"[^ \t\n\x0B\f\r]++"
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, with batches of texts to Python that stay small: the default would be buffers of 100 MB and more for each task."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
-    return df
+#: A side of a join may be broadcast when it has been counted and has no more rows, and no more bytes of text, than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table that scratch_path named, in whatever store it is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of text and binary columns; of a table beyond BROADCAST_ROWS only that it is."""
+    wide = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0).cast("long"))), F.lit(0))).first()
+    return n, size
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it is proven small, else df as it is (then Spark shuffles)."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is proven small, else df as it is (then Spark shuffles). df is evaluated: give a checkpoint."""
+    n, size = size_of(df)
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def hash60(*cols: Column | str) -> Column:
@@ -69,24 +38,6 @@ def hash60(*cols: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def running(df: DataFrame, rows: int, group: str, order: str, ties: list[str], value: Column, out: str) -> DataFrame:
-    """Adds the sum of value over the earlier rows of the group, by (order, ties): exclusive, from 0.
-
-    order is a hash60 column and group isn't null. A group is cut into about sqrt(rows) ranges of the hash;
-    ranges are summed first and get offsets, so no task holds a whole group however large it is.
-    df is evaluated twice: give a checkpoint or a cheap plan. rows only sets the number of ranges.
-    """
-    bits = max(0, math.ceil(math.log2(max(rows, 1)) / 2))
-    df = df.withColumn("_range", F.shiftright(F.col(order), 60 - bits)).withColumn("_value", value)
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = df.groupBy(group, "_range").agg(F.sum("_value").alias("_sum"))
-    offsets = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy(group, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out_col = (F.col("_offset") + F.coalesce(F.sum("_value").over(inner), F.lit(0))).alias(out)
-    keep = [c for c in df.columns if c not in ("_range", "_value")]
-    return df.join(offsets, [group, "_range"]).select(*keep, out_col)
-
-
 def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """A checkpoint of df, range-partitioned and sorted by `order`, with the partition as _part.
 
@@ -95,6 +46,32 @@ def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """A checkpoint of df with a number for each row, which lasts as long as the checkpoint."""
+    return cut(df).withColumn(name, F.monotonically_increasing_id())
+
+
+def running(df: DataFrame, group: list[str], order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name in sums the sum of its column over the earlier rows of the group, by order: exclusive, from 0.
+
+    Columns of group aren't null; without a group all rows are one. order makes all rows of a group differ (by a row's
+    number at last), so ranges of even size can be cut anywhere, also between rows that are the same otherwise: no task
+    holds a group, a key or a kind of row however large it is. Ranges are summed first, a row for each range and
+    group, and hand their sums on.
+    """
+    names = list(sums)
+    values = {f"_value{i}": c for i, c in enumerate(sums.values())}
+    keep = df.columns
+    df = in_ranges(df.withColumns(values), *group, *order)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy(*group, "_part").agg(*[F.sum(v).alias(v) for v in values])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    offsets = parts.select(*group, "_part", *[zero(F.sum(v).over(before)).alias(f"_offset{i}") for i, v in enumerate(values)])
+    out = [(F.col(f"_offset{i}") + zero(F.sum(v).over(inner))).alias(names[i]) for i, v in enumerate(values)]
+    return df.join(offsets, [*group, "_part"]).select(*keep, *out)
+
+
 def last_before(df: DataFrame, group: str, order: list[str], payload: Column, out: str) -> DataFrame:
     """Adds the last non-null payload among the earlier rows of the group: an as-of join of df with itself.
 

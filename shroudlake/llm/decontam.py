@@ -80,7 +80,7 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     n_windows = prefix.count()
 
     start = (F.col("at") - F.col("offset")).alias("start")
-    candidates = hits.join(small(prefix, n_windows), "shingle").select("_k1", "_k2", "n_words", "window", "length", "q", start, "offset")
+    candidates = hits.join(small(prefix), "shingle").select("_k1", "_k2", "n_words", "window", "length", "q", start, "offset")
     candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))).drop("n_words")
     # shingles one after the other and the last one cover the window; the prefix is known to be there
     cover = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("length") - F.col("q"), F.col("q")), F.array(F.col("length") - F.col("q"))))

@@ -2,119 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, cut, hash60, running, small
+from .common import WORD, cut, hash60, numbered, running, small
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: The largest number of times that a document is taken.
 EPOCHS = 3
-#: A last bin of the search for the cut is sorted in one task, so it holds no more rows than this.
-BIN_ROWS = 4096
-_BINS = 1024
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The target of each source: budget shared by weight, at most `epochs` times the source's size.
 
-    sizes has one row for each source (source, source_size); the result adds source_rank (by code point, null last),
-    weight and target. The budget is the sum of all sizes. What a source can't take is shared again by weight
-    among the others until none is above its limit: with sources in the order of limit over weight, those before
-    some place take their limit, and the first place where the level no longer passes the limit ends the search.
-    Windows here run over sources, not over documents.
+    sizes has one row for each source (source, source_size); the result adds source_rank (by code
+    point, null last), weight and target. The budget is the sum of all sizes. What a source can't take is shared again
+    by weight among the others until none is above its limit: with sources in the order of limit over weight, those
+    before some place take their limit, and the first place where the level no longer passes the limit ends the search.
+    Sources are ranked and summed by ranges, so there may be as many as there are hosts.
     """
-    ranked = sizes.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("source_rank") - 1, F.lit(len(weights))) + 1)
+    ranked = running(sizes, [], [F.col("source").asc_nulls_last()], {"_n": F.lit(1)})
+    rank = (F.col("_n") + 1).cast("int").alias("source_rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_n"), F.lit(len(weights))).cast("int") + 1)
     limit = (epochs * F.col("source_size")).cast("double")
-    ranked = ranked.withColumn("weight", weight).withColumn("_limit", limit).withColumn("_ratio", limit / F.col("weight"))
-    order = Window.orderBy("_ratio", "source_rank")
-    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("weight").over(on)
-    found = ranked.withColumn("_place", F.row_number().over(order)).withColumn("_level", level)
-    best = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_place", "_level"))).over(everything)
-    found = found.withColumn("_best", best)
-    target = F.when(F.col("_place") >= F.col("_best._place"), F.least(F.col("weight") * F.col("_best._level"), F.col("_limit"))).otherwise(F.col("_limit"))
+    ranked = ranked.select("source", "source_size", rank, weight.alias("weight"), limit.alias("_limit"), (limit / weight).alias("_ratio"))
+    budget, total = ranked.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    if budget is None:
+        return ranked.select("source", "source_size", "source_rank", "weight", F.col("_limit").alias("target"))
+    found = running(ranked, [], ["_ratio", "source_rank"], {"_full": F.col("_limit"), "_gone": F.col("weight")})
+    level = (F.lit(budget) - F.col("_full")) / (F.lit(total) - F.col("_gone"))
+    best = found.where(F.col("_ratio") >= level).agg(F.min(F.struct("_ratio", "source_rank", level.alias("level"))).alias("m")).first().m
+    target = F.col("_limit")
+    if best is not None:
+        open_ = F.struct("_ratio", "source_rank") >= F.struct(F.lit(best[0]).alias("_ratio"), F.lit(best[1]).alias("source_rank"))
+        target = F.when(open_, F.least(F.col("weight") * best.level, F.col("_limit"))).otherwise(F.col("_limit"))
     return found.select("source", "source_size", "source_rank", "weight", target.alias("target"))
 
 
-def _cut_time(copies: DataFrame, budget: int) -> tuple[float, int] | None:
-    """(finish, source_rank) of the last copy of the global order that fits into the budget; None if none does.
+def fair_queue(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(documents, queue): see mix() for the documents, which here also have a row number of their own, _row.
 
-    The copies are counted in bins of finish time, and the bin where the budget ends is divided again, until it has
-    so few rows that they can be sorted in one task. Each step brings one row of sums to the driver.
-    """
-    bounds = copies.agg(F.min("finish"), F.max("finish"), F.sum("size")).first()
-    lo, hi, total = bounds
-    if lo is None:
-        return None
-    if total <= budget:
-        return hi, 1 << 30
-    base, first = 0, True
-    for _ in range(40):
-        width = (hi - lo) / _BINS
-        # the first step's last bin takes the upper end too
-        inside = (F.col("finish") >= lo) & ((F.col("finish") <= hi) if first else (F.col("finish") < hi))
-        bin_of = F.least(F.floor((F.col("finish") - lo) / width), F.lit(_BINS - 1)) if width > 0 else F.lit(0)
-        bins = copies.where(inside).groupBy(bin_of.cast("int").alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("finish").alias("a"), F.max("finish").alias("z"))
-        upto = F.sum("s").over(Window.orderBy("bin")) + base
-        over = bins.withColumn("upto", upto).where(F.col("upto") > budget).orderBy("bin").first()  # at most _BINS rows
-        base = over.upto - over.s
-        lo, hi, first = over.a, over.z, True
-        if over.n <= BIN_ROWS or lo == hi:
-            break
-    order = Window.orderBy("finish", "source_rank")
-    last = copies.where((F.col("finish") >= lo) & (F.col("finish") <= hi)).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + base)
-    fits = last.where(F.col("upto") <= budget).agg(F.max(F.struct("finish", "source_rank")).alias("m")).first().m
-    if fits is not None:
-        return fits.finish, fits.source_rank
-    before = copies.where(F.col("finish") < lo).agg(F.max(F.struct("finish", "source_rank")).alias("m")).first().m
-    return (before.finish, before.source_rank) if before is not None else None
-
-
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """How often each document is taken when sources are mixed to their weights.
-
-    Documents of a source are shuffled by a hash of seed and key. A copy's virtual finish time is the source's
-    cumulative words up to and with it, divided by the source's target; copies of all sources are ordered by
-    it, and the order is cut where the total budget (all words) ends. A document is taken whole, `epochs` times at most.
-
-    Returns the key, size (words), source_size, target, taken (words, repeats counted), copies, finish (of the first
-    copy; null without words) and source_rank, plus the columns in `carry`. A null text has no words; null is a
-    source of its own, after the others. Documents without words are never taken. Rows with equal keys follow each
-    other by size and checksum; equal rows are placed one after the other. An empty table gives an empty result.
-    A source whose first document is longer than its target may get nothing. Reruns give the same result.
+    queue has a row for each copy that is taken: _row, the key, finish, source_rank, size and position, the number of
+    words before it. Copies of all sources are sorted globally by finish time, by ranges, and the order is cut
+    where the budget ends.
     """
     first = list(dict.fromkeys([key, *carry]))
-    blob = F.col(text).cast("binary")
-    base = cut(
+    base = numbered(
         df.select(
             *first,
             F.col(source).cast("string").alias("_source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
             hash60(F.lit(seed), key).alias("_hash"),
-            F.coalesce(F.crc32(blob), F.lit(0)).alias("_crc"),
+            F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).alias("_crc"),
         )
     )
-    sizes = base.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("_rows"))
-    sources = cut(targets(sizes.select("source", "source_size"), weights, epochs))
-    n_sources = sources.count()
-    joined = base.join(small(sources, n_sources), F.col("_source").eqNullSafe(F.col("source"))).drop("source")
-    placed = cut(running(joined, base.count(), "source_rank", "_hash", ["_size", "_crc"], F.col("_size"), "_before"))
+    sources = cut(targets(cut(base.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))), weights, epochs))
+    joined = base.join(small(sources), F.col("_source").eqNullSafe(F.col("source"))).drop("source", "_source")
+    placed = cut(running(joined, ["source_rank"], ["_hash", "_size", "_crc", "_row"], {"_before": F.col("_size")}))
+    served = F.col("_epoch") * F.col("source_size") + F.col("_before") + F.col("_size")
+    there = placed.where((F.col("_size") > 0) & (F.col("target") > 0))
+    copies = there.select("_row", key, "source_rank", "source_size", "_before", "_size", "target", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("_epoch"))
+    copies = copies.select("_row", key, "source_rank", F.col("_size").alias("size"), (served.cast("double") / F.col("target")).alias("finish"))
+    budget = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    queue = running(copies, [], ["finish", "source_rank", "_row"], {"position": F.col("size")})
+    queue = cut(queue.where(F.col("position") + F.col("size") <= budget))
+    taken = queue.groupBy("_row").agg(F.count("*").alias("_n"), F.min("finish").alias("finish"), F.min("position").alias("position"))
+    n = F.coalesce("_n", F.lit(0))
+    documents = placed.join(taken, "_row", "left").select("_row", *first, F.col("_size").alias("size"), "source_size", "target", (n * F.col("_size")).cast("long").alias("taken"), n.cast("int").alias("copies"), "finish", "position", "source_rank")
+    return documents, queue
 
-    def finish(epoch: int | Column) -> Column:
-        served = F.lit(epoch) * F.col("source_size") + F.col("_before") + F.col("_size") if isinstance(epoch, int) else epoch * F.col("source_size") + F.col("_before") + F.col("_size")
-        return F.when((F.col("_size") > 0) & (F.col("target") > 0), served.cast("double") / F.col("target"))
 
-    copies = placed.where((F.col("_size") > 0) & (F.col("target") > 0)).select("source_rank", "source_size", "_before", "_size", "target", F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("_epoch"))
-    copies = copies.select("source_rank", F.col("_size").alias("size"), finish(F.col("_epoch")).alias("finish"))
-    end = _cut_time(copies, base.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])
-    taken = F.lit(0)
-    if end is not None:
-        for e in range(epochs):
-            f = finish(e)
-            taken = taken + F.when((f < end[0]) | ((f == end[0]) & (F.col("source_rank") <= end[1])), 1).otherwise(0)
-    return placed.select(*first, F.col("_size").alias("size"), "source_size", "target", (taken * F.col("_size")).cast("long").alias("taken"), taken.cast("int").alias("copies"), finish(0).alias("finish"), "source_rank")
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """How often each document is taken when sources are mixed to their weights.
+
+    Documents of a source are shuffled by a hash of seed and key. A copy's virtual finish time is the source's
+    cumulative words up to and with it, divided by the source's target; copies of all sources are ordered by
+    it, and the order is cut where the total budget (all words) ends. A document is taken whole, `epochs` times at most.
+
+    Returns the key, size (words), source_size, target, taken (words, repeats counted), copies, finish and position (of
+    the first copy in the mix; null if none is taken) and source_rank, plus the columns in `carry`. A null text has no
+    words; null is a source of its own, after the others. Documents without words are never taken. Rows with equal keys
+    follow each other by size and checksum; equal rows are placed one after the other. An empty table gives an empty
+    result. A source whose first document is longer than its target may get nothing. Reruns give the same result.
+    """
+    return fair_queue(df, key, text, source, seed, weights, epochs, carry)[0].drop("_row")

@@ -7,21 +7,22 @@ Jaccard similarity 0.8 differs in 12.8 symbols on average, and in more than 31 w
 
 Within a bucket pairs aren't all written out. Each member is first compared with the smallest one; what that doesn't
 join is compared in blocks of bounded size inside tasks, on short forms of the sets (by signatures alone where a set is
-large), and only pairs that pass are written.
-All links are confirmed on full shingle sets.
+large), and only pairs that pass are written. Buckets of many blocks are first split by a second key that loses no pair
+either. All links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_batches
+from .common import cut, small
 from .components import components
 
 CHUNKS, LANES = 16, 4
@@ -29,7 +30,9 @@ SYMBOLS = CHUNKS * LANES
 #: Most differing symbols for which a chunk with one error at most is certain.
 RADIUS = 2 * CHUNKS - 1
 #: Members of a bucket that are compared with each other in one go.
-BLOCK = 2048
+BLOCK = 512
+#: Blocks beyond which a bucket is split by a second key.
+SPLIT = 16
 #: Shingles in a set's short form, which is all of them (in 32 bits) up to so many, else a sample by hash.
 SHORT = 1024
 #: Standard deviations below the similarity asked for that an estimate from samples may have.
@@ -97,7 +100,7 @@ class Shingler:
 def signatures(df: DataFrame, key: str, text: str, words: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """The key, n_shingles, class (a digest of the normalised words; null without words), signature (16 longs), row (a hash of
     key and text) and carry."""
-    base = small_batches(df).select(F.col(key), F.col(text), F.xxhash64(key, text).alias("row"), *carry)
+    base = df.select(F.col(key), F.col(text), F.xxhash64(key, text).alias("row"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (a, b) = Shingler(words), _seeds(SYMBOLS, 1)
@@ -147,7 +150,7 @@ def _maybe(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
 
 def _sets(df: DataFrame, text: str, words: int) -> DataFrame:
     """node, set (sorted hashes) and short form of each row of df (node, class, text) whose text is of the class."""
-    base = small_batches(df).select("node", "class", F.col(text))
+    base = df.select("node", "class", F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -210,7 +213,9 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
             return
         sign = np.array([r["signature"] for r in group], "<i8").view("<u2").reshape(len(group), SYMBOLS)
         n = np.array([r["n_shingles"] for r in group], np.int64)
-        own, which, across = np.array([r["own"] for r in group]), group[0]["which"], group[0]["i"] != group[0]["j"]
+        which, i, j = (group[0][c] for c in ("which", "i", "j"))
+        own = np.array([r["own"] for r in group])
+        others = np.flatnonzero(own == j)
         shorts: dict[int, np.ndarray] = {}
 
         def short(i: int) -> np.ndarray:
@@ -218,12 +223,9 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
                 shorts[i] = np.frombuffer(group[i]["short"], np.uint32)
             return shorts[i]
 
-        for k in range(len(group) - 1):
-            rest = slice(k + 1, None)
-            ok = (comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
-            if across:
-                ok &= own[rest] != own[k]
-            at = np.flatnonzero(ok) + k + 1
+        for k in np.flatnonzero(own == i).tolist():
+            at = others if i != j else others[others > k]
+            at = at[(comp[at] != comp[k]) & (100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k]))]
             if not len(at):
                 continue
             same = sign[at] == sign[k]
@@ -279,6 +281,28 @@ def classes(base: DataFrame, key: str) -> DataFrame:
     return cut(found.withColumn("node", F.monotonically_increasing_id()))
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """(bucket, which, blocks) of the buckets whose members aren't all of one component."""
+    found = members.groupBy("bucket", "which").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count("*").alias("_m"))
+    return found.where("_a != _z").select("bucket", "which", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
+
+
+def _split(members: DataFrame, narrow: DataFrame) -> DataFrame:
+    """The members of heavy buckets in finer ones: by two symbols of a later chunk, for each two of each later chunk.
+
+    A pair counts in its first bucket alone, say of chunk c: earlier chunks then differ in two symbols at least, so the
+    15 - c later ones differ in 31 - 2c at most, and unless c is 14 or 15 one of them in two at most: it has two in common.
+    """
+    keys = []
+    for c in range(1, CHUNKS):
+        for number, two in enumerate(combinations(range(LANES), 2)):
+            kept = sum(0xFFFF << (16 * lane) for lane in two)
+            masked = F.col("signature")[c].bitwiseAND(F.lit(kept - (1 << 64) if kept >> 63 else kept))
+            keys.append(F.when(F.col("which") < LANES * c, F.xxhash64(F.col("bucket"), F.lit(c), F.lit(number), masked)))
+    wide = members.join(narrow, "node").select("which", "node", "component", F.explode(F.array_compact(F.array(*keys))).alias("bucket"))
+    return wide.select("bucket", "which", "node", "component")
+
+
 def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame | None:
     """(node, component) of the classes that have links; reps is from classes."""
     keys = []
@@ -290,12 +314,11 @@ def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     buckets = keyed.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("_n")).where("_n > 1").select("bucket", "lead")
     members = cut(keyed.join(buckets, "bucket"))
     nodes = cut(members.select("node").distinct().join(reps.select("node", "class", "row"), "node"))
-    n_nodes = nodes.count()
-    if not n_nodes:
+    if nodes.isEmpty():
         return None
     rows = df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    sets = cut(_sets(rows.join(small(nodes, n_nodes), "row"), "text", words))
-    narrow = reps.join(small(nodes.select("node"), n_nodes), "node", "left_semi")
+    sets = cut(_sets(rows.join(small(nodes), "row"), "text", words))
+    narrow = reps.join(small(nodes.select("node")), "node", "left_semi")
     side = lambda n: narrow.select(F.col("node").alias(n), F.col("n_shingles").alias(f"_n{n}"), F.col("signature").alias(f"_s{n}"))
     stars = members.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_lanes("_sa", "_sb") <= RADIUS))
@@ -303,8 +326,13 @@ def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     joined = cut(components(found))
 
     rest = members.where(F.col("lead") != F.col("node")).join(joined, "node", "left").select("bucket", "which", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rest.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count("*").alias("_m")).where("_a != _z").select("bucket", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = cut(_mixed(rest))
+    heavy = mixed.where((F.col("blocks") > SPLIT) & (F.col("which") < LANES * (CHUNKS - 2))).select("bucket")
+    parts = rest.join(mixed, ["bucket", "which"])
+    if not heavy.isEmpty():
+        finer = cut(_split(rest.join(heavy, "bucket"), narrow))
+        parts = parts.join(heavy, "bucket", "left_anti").unionByName(finer.join(cut(_mixed(finer)), ["bucket", "which"]))
+    rest = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other"))
     rest = rest.join(narrow, "node").join(sets.select("node", "short"), "node").select("bucket", "which", "i", "j", "own", "node", "component", "n_shingles", "signature", "short")
     more = cut(_confirm(_compare(rest, percent).distinct(), sets, percent))

@@ -12,7 +12,7 @@ from .mixing import mix
 from .neardup import near_duplicates
 from .quality import score_quality
 from .quotes import as_mail, link_quotes
-from .rules import apply_policy, ledger
+from .rules import ablation, apply_policy, ledger
 from .sharding import shard
 from .sql import SQL
 from .tokens import token_ids
@@ -22,7 +22,19 @@ from .warc import resolve_revisits
 SHARDS = 24
 
 
+#: Rows of a batch of texts between Spark and Python in the registered queries, where the session has Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python that stay small in this session: operators leave sessions as they are, these queries are programs of their own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -81,6 +93,10 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablation(ledger(read(spark, sf_dir, "documents")))
+
+
 def op7_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -100,7 +116,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_jump_sharding, op2_quadratic_quality, op3_hamming_neardup, op4_prefix_decontamination, op5_revisit_resolution, op6_rule_ledger, op7_fair_mixing, op8_repair_tokens, op9_quotation_links, op10_toxicity_chain)
+    for f in (op1_jump_sharding, op2_quadratic_quality, op3_hamming_neardup, op4_prefix_decontamination, op5_revisit_resolution, op6_rule_ledger, op7_fair_mixing, op8_repair_tokens, op9_quotation_links, op10_toxicity_chain, rule_ablation)
 }
 
 

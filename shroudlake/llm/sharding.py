@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash60, running
+from .common import hash60, numbered, running
 
 
 def jump(keys: np.ndarray, n: int) -> np.ndarray:
@@ -48,8 +48,9 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     in each shard, in the order of a hash of the key: a shard read by slot is shuffled.
 
     A null key counts as the empty text and has one shard; a null text has size 8 and checksum 0. Rows with equal
-    keys share a shard and follow each other by checksum and size; equal rows have slots of their own. An empty
-    table gives an empty result. Other columns of df are left out, so their names can't clash.
+    keys share a shard and follow each other by checksum and size; equal rows have slots of their own, and however many
+    rows have one key, they are numbered by many tasks. An empty table gives an empty result. Other columns of df are
+    left out, so their names can't clash.
     """
     blob = F.col(text).cast("binary")
     rows = df.select(
@@ -58,6 +59,6 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         F.coalesce(F.crc32(blob), F.lit(0)).cast("long").alias("text_crc32"),
         hash60(key).alias("_hash"),
     )
-    rows = cut(rows.withColumn("shard", jump_column(F.col("_hash"), shards)).withColumn("grown_shard", jump_column(F.col("_hash"), shards + appended)))
-    out = running(rows, df.count(), "shard", "_hash", ["text_crc32", "size"], F.lit(1), "slot")
+    rows = numbered(rows.withColumn("shard", jump_column(F.col("_hash"), shards)).withColumn("grown_shard", jump_column(F.col("_hash"), shards + appended)))
+    out = running(rows, ["shard"], ["_hash", "text_crc32", "size", "_row"], {"slot": F.lit(1)})
     return out.select(key, "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

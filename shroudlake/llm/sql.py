@@ -63,6 +63,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM leak_d LEFT JOIN leak_r USING (r)"""
 
 
+#: The rules of the ledger, in the order of their bits.
+_CONDITIONS = {
+    "too_few_words": "n_words < 50",
+    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
+    "many_symbols": "10 * n_symbols > n_words",
+    "shouting": "2 * n_upper > n_letters",
+    "repeated_lines": "n_dup_lines >= 5 AND 2 * n_dup_words > n_words",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 16 * n_words",
+    "mostly_digits": "10 * n_digits > 3 * word_chars",
+    "words_without_letters": "10 * n_bare > 4 * n_words",
+    "poor_vocabulary": "n_words >= 100 AND 20 * n_distinct < n_words AND n_distinct < 50",
+    "endless_word": "longest > 1000",
+    "bullet_list": "n_lines >= 5 AND 10 * n_bullets > 9 * n_lines",
+    "broken_off_lines": "n_lines >= 5 AND 10 * n_open > 3 * n_lines",
+    "control_characters": "100 * n_control > word_chars",
+}
+#: Tables up to b (doc_id, measures, failed_bits): the ledger.
+LEDGER = rf"""
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c > 1) GROUP BY r),
+each_line AS (SELECT r, line, count(*) AS k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]') AS bullet, regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$') AS open_end
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+lines AS (SELECT r, sum(k)::BIGINT AS n, sum(k - 1)::BIGINT AS dup, sum((k - 1) * words)::BIGINT AS dup_words, coalesce(sum(k) FILTER (bullet), 0)::BIGINT AS bullets, coalesce(sum(k) FILTER (open_end), 0)::BIGINT AS open_ends FROM each_line GROUP BY r),
+each_word AS (SELECT r, count(DISTINCT x) AS kinds, max(octet_length(encode(x))) AS longest, count(*) FILTER (NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')) AS bare FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  coalesce(lines.n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters,
+  coalesce(dup_words, 0) AS n_dup_words, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, coalesce(bare, 0) AS n_bare, coalesce(kinds, 0) AS n_distinct, coalesce(longest, 0) AS longest,
+  coalesce(bullets, 0) AS n_bullets, coalesce(open_ends, 0) AS n_open, length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x7F\x{{FFFD}}]', '', 'g')) AS n_control
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r) LEFT JOIN each_word USING (r)),
+b AS (SELECT *, {" + ".join(f"{1 << k} * ({c})::BIGINT" for k, c in enumerate(_CONDITIONS.values()))} AS failed_bits FROM m)"""
+
+
 SQL: dict[str, str] = {
     "op1_jump_sharding": f"""
 WITH RECURSIVE {_CRC_TABLE},
@@ -99,18 +133,12 @@ judged AS (
 SELECT record_id, canonical_url, ts, kind, CASE WHEN status = 'resolved' THEN f.id END AS refers_to, status,
   CASE WHEN status = 'resolved' THEN 'cache-control=max-age=120;content-length=' || f.size || ';content-type=text/html;date=day 30;etag=' || coalesce(etag, f.etag) || ';last-modified=' || f.day ELSE headers END AS headers
 FROM judged""",
-    "op6_rule_ledger": rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c > 1) GROUP BY r),
-lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
-m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-  coalesce(lines.n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
-  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
-b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_upper > n_letters)::BIGINT
-  + 16 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 32 * (word_chars < 2 * n_words OR word_chars > 16 * n_words)::BIGINT AS failed_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits & 47 = 0 AS kept, failed_bits FROM b""",
+    "op6_rule_ledger": f"""
+WITH {LEDGER}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b""",
+    "rule_ablation": f"""
+WITH {LEDGER}, rules(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << k})" for k, name in enumerate(_CONDITIONS))})
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS failed, count(*) FILTER (failed_bits = bit) AS failed_alone, count(*) FILTER (failed_bits = 0 OR failed_bits = bit) AS kept_without FROM b, rules GROUP BY rule""",
     "op7_fair_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(sha256('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM d GROUP BY source),
