@@ -1,23 +1,28 @@
 """Benchmark decontamination by a prefix-filtered set join, with DataFrame functions alone.
 
 Every item gives windows of its words, and a window is a set of shingles at known offsets. A document holds a window
-only if it holds all of its shingles, so one of them is a sufficient prefix: the rarest in the corpus. Documents'
-shingles are matched with the benchmark's, rarity is counted over all documents, windows meet documents by their
-prefix alone, and each candidate is bounded by position and length and confirmed over the whole window.
+only if it holds all of its shingles, so one of them is a sufficient prefix: the rarest of the benchmark, by one order
+for all windows. Documents' shingles meet these prefixes alone, in blocks of windows that are small enough to be
+broadcast; documents themselves are never shuffled. A candidate is bounded by position and length and confirmed over the
+whole window where its document is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import cut, small
 
-#: A run of letters, digits and anything beyond ASCII, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A run of letters, digits and anything beyond ASCII, after A-Z are lower-cased. (Its complement, as a negated class, is
+#: many times slower.)
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 8, 4
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_of(text: Column) -> Column:
@@ -29,6 +34,11 @@ def _part(words: str, start: Column, length: int | Column) -> Column:
     return F.array_join(F.slice(F.col(words), start + 1, F.lit(length) if isinstance(length, int) else length), " ")
 
 
+def _shingle(words: str, at: Column, q: int) -> Column:
+    """A hash of the q words from a place on."""
+    return F.xxhash64(F.lit(q), *[F.get(F.col(words), at + k) for k in range(q)])
+
+
 def _windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     """(item, window, length) of every distinct window of every item."""
     words = items.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("_w")).where(F.size("_w") > 0)
@@ -37,6 +47,17 @@ def _windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     return starts.select("item", _part("_w", F.col("_i"), F.col("length")).alias("window"), "length").distinct()
 
 
+def _prefixes(windows: DataFrame, shingle: int) -> DataFrame:
+    """(window, length, h, offset): each window's shingle that is in the fewest windows, ties by hash."""
+    kinds = windows.select("window", "length").distinct().withColumn("q", F.least("length", F.lit(shingle))).withColumn("_w", F.split("window", " "))
+    parts = kinds.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("q"))))
+    h = reduce(lambda c, q: c.when(F.col("q") == q, _shingle("_w", F.col("offset"), q)), range(2, shingle + 1), F.when(F.col("q") == 1, _shingle("_w", F.col("offset"), 1)))
+    parts = cut(parts.select("window", "length", "offset", h.alias("h")))
+    rarity = parts.groupBy("h").agg(F.count("*").alias("_df"))
+    first = parts.join(rarity, "h").groupBy("window", "length").agg(F.min(F.struct("_df", "h", "offset")).alias("_p"))
+    return cut(first.select("window", "length", F.col("_p.h").alias("h"), F.col("_p.offset").alias("offset")))
+
+
 def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, min_items: int = 2, share: int | None = None) -> DataFrame:
     """What each document shares with a benchmark.
 
@@ -51,59 +72,44 @@ def contamination(df: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     is a key. An empty benchmark hits nothing; an empty table gives an empty result. Other columns are left out.
     """
     windows = cut(_windows(items, item, item_text, window))
-    kinds = windows.select("window", "length").distinct()
-    kinds = kinds.withColumn("_q", F.least("length", F.lit(shingle))).withColumn("_w", F.split("window", " "))
-    parts = cut(kinds.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("_q")))).select("window", "length", F.col("_q").alias("q"), "offset", _part("_w", F.col("offset"), F.col("_q")).alias("shingle")))
-    vocabulary = parts.select("shingle").distinct().withColumn("_known", F.lit(True))
-    sizes = sorted(r.q for r in parts.select("q").distinct().collect())  # at most `shingle` values
+    prefix = _prefixes(windows, shingle)
+    n_prefix, bytes_prefix, shortest = prefix.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)), F.min("length")).first()
+    lengths = range(min(shortest or shingle, shingle), shingle + 1)
+    sizes = [q for q in lengths if q == shingle or not prefix.where(F.col("length") == q).isEmpty()]
+    blocks = max(1, -(-n_prefix // max(1, common.BROADCAST_ROWS)), -(-bytes_prefix // max(1, common.BROADCAST_BYTES)))
 
     docs = df.select(F.col(key), words_of(F.col(text)).alias("_w"), F.xxhash64(key, text).alias("_k1"), F.hash(F.col(text), F.col(key)).alias("_k2"))
-    docs = docs.withColumn("n_words", F.size("_w").cast("long"))
-    # one row of its own for each document, with a name that no shingle has, then one for each shingle
-    entry = lambda at, s: F.struct(at.cast("int").alias("at"), s.alias("shingle"))
-    rows = [F.array(entry(F.lit(-1), F.concat_ws(" ", F.lit(""), "_k1", "_k2", F.col(key).cast("string"))))]
-
-    def shingles(q: int) -> Column:
-        starts = F.when(F.size("_w") >= q, F.sequence(F.lit(0), F.size("_w") - q)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: entry(i, _part("_w", i, q)))
-
-    rows += [shingles(q) for q in sizes]
-    found = docs.select(key, "_k1", "_k2", "n_words", F.inline(F.concat(*rows))).join(small(vocabulary), "shingle", "left")
-    found = cut(found.where((F.col("at") < 0) | F.col("_known")).select(key, "_k1", "_k2", "n_words", "at", "shingle"))
-
-    hits = found.where("at >= 0").select("_k1", "_k2", "n_words", "at", "shingle").distinct()
-    rarity = hits.groupBy("shingle").agg(F.count("*").alias("_df"))
-    ranked = parts.join(small(rarity), "shingle", "left")
-    prefix = ranked.groupBy("window", "length", "q").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "offset", "shingle")).alias("_p"))
-    # a shingle that no document has rules the window out
-    prefix = cut(prefix.where(F.col("_p._df") > 0).select("window", "length", "q", F.col("_p.offset").alias("offset"), F.col("_p.shingle").alias("shingle")))
-    n_windows = prefix.count()
-
-    start = (F.col("at") - F.col("offset")).alias("start")
-    candidates = hits.join(small(prefix), "shingle").select("_k1", "_k2", "n_words", "window", "length", "q", start, "offset")
-    candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words"))).drop("n_words")
-    # shingles one after the other and the last one cover the window; the prefix is known to be there
-    cover = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("length") - F.col("q"), F.col("q")), F.array(F.col("length") - F.col("q"))))
-    needs = F.filter(cover, lambda o: o != F.col("offset"))
-    words = F.split("window", " ")
-    checks = candidates.select("_k1", "_k2", "window", "length", "start", F.size(needs).alias("_needs"), F.explode_outer(F.transform(needs, lambda o: F.struct((F.col("start") + o).alias("at"), F.array_join(F.slice(words, o + 1, F.col("q")), " ").alias("shingle")))).alias("_c"))
-    alone = checks.where("_needs = 0").select("_k1", "_k2", "window", "length", "start")
-    held = checks.where("_needs > 0").select("_k1", "_k2", "window", "length", "start", "_needs", F.col("_c.at").alias("at"), F.col("_c.shingle").alias("shingle"))
-    held = held.join(hits.select("_k1", "_k2", "at", "shingle"), ["_k1", "_k2", "at", "shingle"], "left_semi").groupBy("_k1", "_k2", "window", "length", "start", "_needs").agg(F.count("*").alias("_n")).where("_n = _needs")
-    occurs = cut(alone.union(held.select("_k1", "_k2", "window", "length", "start")))
+    # a row of its own for each document, at -1, then one for each word
+    rows = docs.withColumn("_n", F.size("_w")).withColumn("_at", F.explode(F.sequence(F.lit(-1), F.col("_n") - 1)))
+    hashes = [F.when((F.col("_at") >= 0) & (F.col("_at") <= F.col("_n") - q), _shingle("_w", F.col("_at"), q)) for q in sizes]
+    if len(hashes) == 1:
+        rows = rows.withColumn("h", hashes[0])
+    else:
+        rows = rows.withColumn("h", F.explode(F.when(F.col("_at") < 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(*hashes))))
+    start = F.col("_at") - F.col("offset")
+    holds = F.col("window").isNotNull() & (start >= 0) & (start + F.col("length") <= F.col("_n")) & (_part("_w", start, F.col("length")) == F.col("window"))
+    found = None
+    for b in range(blocks):
+        some = F.broadcast(prefix.where(F.pmod(F.hash("h"), F.lit(blocks)) == b))
+        met = rows.join(some, "h", "inner" if b else "left").where(holds if b else holds | (F.col("_at") < 0))
+        met = met.select(key, "_k1", "_k2", F.col("_n").cast("long").alias("n_words"), F.when(F.col("_at") >= 0, start).alias("start"), "length", "window")
+        found = met if found is None else found.union(met)
+    found = cut(found)
 
     doc = ["_k1", "_k2"]
+    occurs = cut(found.where("start IS NOT NULL").select(*doc, "window", "length", "start").distinct())
     n_hit = occurs.select(*doc, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("_at")).distinct().groupBy(*doc).agg(F.count("*").alias("n_hit"))
-    n_items = occurs.select(*doc, "window").distinct().join(small(windows.select("window", "item")), "window").select(*doc, "item").distinct()
+    which = occurs.select(*doc, "window").distinct()
+    n_items = which.join(small(windows.select("window", "item")), "window").select(*doc, "item").distinct()
     n_items = n_items.groupBy(*doc).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    out = found.where("at < 0").select(key, *doc, "n_words").join(n_hit, doc, "left").join(n_items, doc, "left")
+    out = found.where("start IS NULL").select(key, *doc, "n_words").join(n_hit, doc, "left").join(n_items, doc, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     extra = []
     if share is not None:
         name = F.sha2(F.concat_ws("|", F.col(item).cast("string"), F.col(item_text)), 256)  # one id may have several texts
         texts = cut(_windows(items.where(F.col(item).isNotNull()).select(name.alias("item"), F.col(item_text).alias("text")), "item", "text", window).where(F.col("length") == window))
-        most = occurs.select(*doc, "window").distinct().join(small(texts.select("window", "item")), "window").groupBy(*doc, "item").agg(F.count("*").alias("_n"))
-        most = most.join(small(texts.groupBy("item").agg(F.count("*").alias("_of"))), "item").where(100 * F.col("_n") >= share * F.col("_of"))
+        most = which.join(small(texts.select("window", "item")), "window").groupBy(*doc, "item").agg(F.count("*").alias("_n"))
+        most = most.join(small(cut(texts.groupBy("item").agg(F.count("*").alias("_of")))), "item").where(100 * F.col("_n") >= share * F.col("_of"))
         out, extra = out.join(most.groupBy(*doc).agg(F.count("*").alias("n_most")), doc, "left"), [zero("n_most")]
     out = out.select(key, "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), *extra)
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
