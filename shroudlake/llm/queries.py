@@ -107,7 +107,7 @@ def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link_quotes(as_mail(read(spark, sf_dir, "conversations")))
-    return out.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"), F.col("n_levels").cast("long").alias("n_levels"), F.col("n_quotes").cast("long").alias("n_quotes"), "n_linked", "parent", "root", "depth")
+    return out.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"), F.col("n_levels").cast("long").alias("n_levels"), F.col("n_quotes").cast("long").alias("n_quotes"), "n_linked", "parent", "root", "depth", "place")
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def parts(passage: str) -> dict[str, int]:
 
 
 def _threads(edges: DataFrame) -> DataFrame:
-    """(conv, turn, root, depth) from (conv, turn, parent), by pointer doubling; a parent has a smaller turn."""
+    """(conv, turn, root, depth) from (conv, turn, parent): where the way over parents ends, and its steps, by pointer doubling."""
     active, settled = cut(edges.select("conv", "turn", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))), None
     for _ in range(MOST_ROUNDS):
         # a message whose root has nothing above it is done; only the others go into the next round
@@ -77,16 +77,38 @@ def _threads(edges: DataFrame) -> DataFrame:
     raise RuntimeError("replies don't settle")
 
 
+def _reply_order(threads: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, turn, place): the place of each message of a thread when every message is followed by its replies, by turn,
+    each with its own replies behind it.
+
+    The message after another one is its first reply, else the next reply to the nearest message above that has one
+    behind. Following that from everywhere at once tells how many come after a message, however long the thread.
+    """
+    replies = edges.where("parent IS NOT NULL").select("conv", "turn", "parent")
+    group = F.concat_ws("|", "conv", "parent")
+    beside = last_before(replies.withColumn("_group", group).withColumn("_back", -F.col("turn")), "_group", ["_back"], F.col("turn"), "next").select("conv", "turn", "next")
+    edges = cut(edges.select("conv", "turn", "parent").join(beside, ["conv", "turn"], "left"))
+    ends = _threads(edges.select("conv", "turn", F.when(F.col("next").isNull(), F.col("parent")).alias("parent")))
+    behind = ends.select("conv", "turn", F.col("root").alias("_end")).join(edges.select("conv", F.col("turn").alias("_end"), F.col("next").alias("_behind")), ["conv", "_end"])
+    first = replies.groupBy("conv", F.col("parent").alias("turn")).agg(F.min("turn").alias("_first"))
+    after = behind.join(first, ["conv", "turn"], "left").select("conv", "turn", F.coalesce("_first", "_behind").alias("parent"))
+    left = cut(_threads(cut(after)).select("conv", "turn", F.col("depth").alias("_left")))
+    whole = threads.select("conv", "turn", "root").join(left, ["conv", "turn"]).join(left.select("conv", F.col("turn").alias("root"), F.col("_left").alias("_all")), ["conv", "root"])
+    return whole.select("conv", "turn", (F.col("_all") - F.col("_left")).alias("place"))
+
+
 def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Messages without their quotes, each with the message that it answers.
 
     A quoted passage is linked to the latest earlier message of its conversation that has it, as a whole or as a
-    paragraph, up to case and white space; if none has it, then by the longest of its paragraphs that one has. The parent is the message of the outermost linked passage (the latest, if
-    several); root and depth follow from parents, so ordering by (conv, root, depth, turn) gives reply order.
+    paragraph, up to case and white space; if none has it, then by the longest of its paragraphs that one has. The parent
+    is the message of the outermost linked passage (the latest, if several). Root, depth and place follow from parents:
+    ordered by (conv_id, root, place), messages are conversations in reply order, each message followed by its replies.
+    Conversations are linked inside alone.
 
     Returns conv_id, turn, role, text (own text alone), n_levels (deepest quote), n_quotes (passages), n_linked, parent,
-    root and depth, under those names. Null and empty texts are messages without quotes that nobody can quote. Without
-    conversation or turn a message isn't linked, and its root is its turn. Equal messages of one turn are all kept, with
+    root, depth and place (from 0 in the thread of a root), under those names. Null and empty texts are messages without
+    quotes that nobody can quote. Without conversation or turn a message isn't linked, and its root is its turn. Equal messages of one turn are all kept, with
     the links of the turn. An empty table gives an empty result. Other columns are left out.
     """
     base = df.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
@@ -113,11 +135,12 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     linked = found.groupBy("conv", "turn").agg(F.min_by("_parent", F.struct("level", -F.col("_parent"))).alias("parent"), F.sum("_same").alias("_linked"))
     copies = known.groupBy("conv", "turn").agg(F.count("*").alias("_copies"))
     edges = cut(copies.join(linked, ["conv", "turn"], "left"))
-    threads = _threads(edges).join(edges.select("conv", "turn", "parent", (F.col("_linked") / F.col("_copies")).cast("long").alias("_linked")), ["conv", "turn"])
+    threads = cut(_threads(edges))
+    threads = threads.join(_reply_order(threads, edges), ["conv", "turn"]).join(edges.select("conv", "turn", "parent", (F.col("_linked") / F.col("_copies")).cast("long").alias("_linked")), ["conv", "turn"])
     out = messages.join(threads, ["conv", "turn"], "left")
     levels = F.coalesce(F.array_max("levels"), F.lit(0)).alias("n_levels")
     return out.select(
-        F.col("conv").alias("conv_id"), "turn", "role", "text", levels, F.size("levels").alias("n_quotes"), F.coalesce("_linked", F.lit(0)).alias("n_linked"), "parent", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth")
+        F.col("conv").alias("conv_id"), "turn", "role", "text", levels, F.size("levels").alias("n_quotes"), F.coalesce("_linked", F.lit(0)).alias("n_linked"), "parent", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("place", F.lit(0)).alias("place")
     )
 
 

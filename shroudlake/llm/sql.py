@@ -122,7 +122,9 @@ named AS (
   SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM rec),
 canon AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www\d*\.', '')
-    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '\?&', '?', 'g'), '[?&]$', ''), '/$', '') AS canonical_url FROM named),
+    || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/$', '') || CASE WHEN len(own) > 0 THEN '?' || array_to_string(own, '&') ELSE '' END AS canonical_url
+  FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid)(=|$)'))) AS own
+    FROM (SELECT *, array_to_string(list_transform(string_split(regexp_replace(bare, '^[^/?]*', ''), '%'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN upper(x[1:2]) || x[3:] ELSE x END), '%') AS rest FROM named))),
 found AS (
   SELECT *, last_value(CASE WHEN kind = 'response' THEN {'id': record_id, 'etag': etag, 'day': last_modified, 'size': size} END IGNORE NULLS)
     OVER (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM canon),
@@ -156,5 +158,5 @@ SELECT c.doc_id, c.size, source_size, target, coalesce(taken, 0)::BIGINT AS take
 WITH m AS (SELECT *, lag(text) OVER w AS t1, lag(text, 2) OVER w AS t2, row_number() OVER w - 1 AS place, min(turn) OVER (PARTITION BY conv_id) AS root FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, role, md5(trim(text, E' \t\n\r\x0b\x0c')) AS text_md5, length(trim(text, E' \t\n\r\x0b\x0c'))::BIGINT AS n_chars,
   ((t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT) AS n_levels, ((t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT) AS n_quotes, ((t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT) AS n_linked,
-  CASE WHEN t1 IS NOT NULL THEN turn - 1 END AS parent, root, place AS depth FROM m""",
+  CASE WHEN t1 IS NOT NULL THEN turn - 1 END AS parent, root, place AS depth, place FROM m""",
 }
