@@ -18,19 +18,39 @@ from pyspark.sql.window import Window
 from .common import scratch_path
 
 MAGIC = b"RPG1"
-#: Ids in a block at least (a document is never cut, so a longer one makes a longer block).
-BLOCK_IDS = 1 << 18
+#: Ids in a shard at least (a document is never cut, so a longer one makes a longer shard).
+SHARD_IDS = 1 << 18
 #: Most pairs a round, and the count below which a pair isn't replaced: a rule takes 8 bytes, an occurrence saves 2.
 PAIRS, LEAST = 2048, 4
-#: Chunks whose ids a worker remembers; beyond this it starts anew.
+#: Pieces whose ids a worker remembers; beyond this it starts anew.
 MEMO = 1_000_000
 
 
-def _counts(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pairs = (seq[:-1] << np.uint32(16)) | seq[1:] if not len(seq) or seq.max() < 65536 else (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    order = np.sort(pairs)
-    starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.zeros(0, np.int64)
-    return pairs, order[starts] if len(order) else order, np.diff(np.append(starts, len(order)))
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    """A place of 16 bits for each pair."""
+    with np.errstate(over="ignore"):
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(16) if pairs.dtype == np.uint32 else (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
+def _choose(kinds: np.ndarray, counts: np.ndarray, shift: int, room: int) -> np.ndarray:
+    """The most frequent pairs, sorted, of which none can overlap another one and no two have one slot."""
+    top = np.argsort(-counts, kind="stable")[: PAIRS + PAIRS // 4]
+    some, mask, most, chosen = kinds[top].tolist(), (1 << shift) - 1, min(PAIRS, room), []
+    side = bytearray(max(max(k >> shift, k & mask) for k in (int(kinds.max()), int((kinds & kinds.dtype.type(mask)).max()))) + 1)
+    for k in some:  # a symbol is the first one of pairs (1), or the second one (2)
+        a, b = k >> shift, k & mask
+        if side[a] > 1 or side[b] & 1 or a == b and side[a]:
+            continue
+        if len(chosen) == most:
+            break
+        side[a], side[b] = 1, 2
+        if a == b:
+            side[a] = 3
+        chosen.append(k)
+    keys = np.array(sorted(chosen), kinds.dtype)
+    last = np.zeros(1 << 16, np.int16)
+    last[_slot(keys)] = np.arange(len(keys))
+    return keys[last[_slot(keys)] == np.arange(len(keys))]  # of two with one slot the other waits for the next round
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,51 +60,51 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
     pairs of one round share no symbol in a way that lets their occurrences overlap. Rounds end when no pair occurs
     LEAST times, or when 16 bits have no symbol left. Rule k is a row (left, right) of
     symbols below base + k; lengths[k] is the number of ids that it expands to.
+
+    A pair that is too rare once stays so, since new neighbours always have a new symbol among them: later rounds count
+    only where a pair was frequent or a new symbol is.
     """
     seq, rules, size = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
-    while len(seq) > 1:
-        pairs, kinds, counts = _counts(seq)
-        shift = 16 if kinds.dtype == np.uint32 else 32
-        often = np.flatnonzero(counts >= LEAST)
-        if not len(often):
+    live = np.arange(max(0, len(seq) - 1))
+    while len(live):
+        wide = base + len(rules) > 1 << 16
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+        left, right = (seq[:-1], seq[1:]) if len(live) == len(seq) - 1 else (seq[live], seq[live + 1])
+        pairs = (left.astype(kind) << kind(shift)) | right
+        order = np.sort(pairs)
+        often = order[LEAST - 1 :][order[LEAST - 1 :] == order[: 1 - LEAST]] if len(order) >= LEAST else order[:0]
+        room = (1 << 16) - base - len(rules) if base < 1 << 16 else PAIRS  # 16-bit symbols as long as they last
+        if not len(often) or room <= 0:
             break
-        top = often[np.argsort(-counts[often], kind="stable")][: PAIRS + PAIRS // 4]
-        firsts, seconds, chosen = set(), set(), []
-        for k in kinds[top].tolist():
-            a, b = k >> shift, k & ((1 << shift) - 1)
-            if a in seconds or b in firsts or (a == b and (a in firsts or a in seconds)):
-                continue
-            if len(chosen) == PAIRS:
-                break
-            firsts.add(a)
-            seconds.add(b)
-            chosen.append(k)
-        room = (1 << 16) - base - len(rules) if base < 1 << 16 else len(chosen)
-        chosen = sorted(chosen[: max(0, room)])  # 16-bit symbols as long as they last
-        if not chosen:
-            break
-        keys = np.array(chosen, kinds.dtype)
-        highest = int(seq.max()) + 1
-        is_first, is_second = np.zeros(highest, bool), np.zeros(highest, bool)
-        a, b = (keys >> kinds.dtype.type(shift)).astype(np.int64), (keys & kinds.dtype.type((1 << shift) - 1)).astype(np.int64)
-        is_first[a], is_second[b] = True, True
-        at = np.flatnonzero(is_first[seq[:-1]] & is_second[seq[1:]])
-        rank = np.minimum(np.searchsorted(keys, pairs[at]), len(keys) - 1)
-        hit = keys[rank] == pairs[at]
-        at, rank = at[hit], rank[hit]
-        touch = np.concatenate(([False], np.diff(at) == 1)) if len(at) else np.zeros(0, bool)
+        starts = np.flatnonzero(np.concatenate(([True], often[1:] != often[:-1])))
+        kinds, counts = often[starts], np.diff(np.append(starts, len(often))) + LEAST - 1
+        keys = _choose(kinds, counts, shift, room)
+        slots = _slot(pairs)
+        table = np.zeros(1 << 16, np.int16)
+        table[_slot(keys)] = np.arange(len(keys))
+        rank = table[slots]
+        hit = np.flatnonzero(keys[rank] == pairs)
+        at, rank = live[hit], rank[hit]
+        touch = np.concatenate(([False], np.diff(at) == 1))
         if touch.any():  # a run of one symbol: every second occurrence
-            starts = np.maximum.accumulate(np.where(~touch, np.arange(len(at)), 0))
-            even = (np.arange(len(at)) - starts) % 2 == 0
+            first = np.maximum.accumulate(np.where(~touch, np.arange(len(at)), 0))
+            even = (np.arange(len(at)) - first) % 2 == 0
             at, rank = at[even], rank[even]
-        new = np.uint32(base + len(rules))
-        seq[at] = new + rank.astype(np.uint32)
+        frequent = np.zeros(1 << 16, bool)
+        frequent[_slot(kinds)] = True
+        flags = np.zeros(len(seq), bool)
+        flags[live] = frequent[slots]
+        flags[at] = True
+        flags[np.maximum(at - 1, 0)] = True
+        seq[at] = np.uint32(base + len(rules)) + rank.astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        length = lambda s: np.where(s < base, 1, size[np.maximum(s - base, 0)] if len(size) else 1)  # noqa: B023, E731
-        size = np.concatenate((size, length(a) + length(b)))
-        rules = np.concatenate((rules, np.stack((a, b), 1).astype(np.uint32)))
+        live = np.flatnonzero(flags[keep][:-1])
+        new = np.stack((keys >> kind(shift), keys & kind((1 << shift) - 1)), 1).astype(np.int64)
+        length = np.where(new < base, 1, size[np.maximum(new - base, 0)] if len(size) else 1)
+        size = np.concatenate((size, length.sum(axis=1)))
+        rules = np.concatenate((rules, new.astype(np.uint32)))
     return seq, rules, size
 
 
@@ -115,7 +135,7 @@ def expand(seq: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
 
 
 def pack(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    """A block: MAGIC, base, width and counts; then rules, their expansion lengths, the sequence and document ends."""
+    """A shard: MAGIC, base, width and counts; then rules, their expansion lengths, the sequence and document ends."""
     seq, rules, size = compress(ids, base)
     wide = base + len(rules) > 1 << 16
     kind = "<u4" if wide else "<u2"
@@ -123,12 +143,12 @@ def pack(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
     return MAGIC + head + rules.astype(kind).tobytes() + size.astype("<u4").tobytes() + seq.astype(kind).tobytes() + ends.astype("<u8").tobytes()
 
 
-class Block:
-    """A block opened for reading; documents are decoded one at a time or all together."""
+class Shard:
+    """A shard opened for reading; documents are decoded one at a time or all together."""
 
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
-            raise ValueError("not a block of token ids")
+            raise ValueError("not a shard of token ids")
         self.base, width, n_rules, n_seq, n_docs = np.frombuffer(blob, "<u4", 5, 4).tolist()
         kind, at = ("<u4" if width == 4 else "<u2"), 24
         self.rules = np.frombuffer(blob, kind, 2 * n_rules, at).reshape(-1, 2).astype(np.uint32)
@@ -154,25 +174,41 @@ class Block:
         return expand(self.seq[i:j], self.table)[a - int(self._at[i]) : b - int(self._at[i])]
 
 
-#: Chunk -> ids, by tokenizer file; it lasts as long as the worker, over tasks.
+#: Piece -> ids, by tokenizer file; it lasts as long as the worker, over tasks.
 _MEMOS: dict[str, "Memo"] = {}
 
-#: How `word_bpe` files cut texts into pieces: a fixed value of their format.
+#: How `word_bpe` files make and cut texts into pieces: fixed values of their format.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for lower-case texts of ASCII and Latin letters up to U+017F, which no normal form changes.
-_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\x0b\x0c\ra-z\u00df-\u00f6\u00f8-\u017f0-9]+")
-_NOT_LATIN = re.compile("[^\t\n\x0b\x0c\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|<\\|")
+_LATIN = re.compile("[a-zß-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\x0b\x0c\ra-zß-öø-ſ0-9]+")
+_NOT_LATIN = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-įı-ſ]|<\\|")
 #: The printable character that stands for each byte in byte-level vocabularies: fixed by their format.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
+_ALLOWED = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+
+
+def _latin(text: str) -> bool:
+    """Whether a text is of ASCII and Latin letters alone and can hold no added token."""
+    if text.isascii():
+        return "<|" not in text
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _NOT_LATIN.search(text)
+    return not raw.translate(None, _ALLOWED) and b"<|" not in raw
+
+
 class Memo(dict):
     """The ids, as bytes, of pieces of texts; unknown ones are encoded by the tokenizers library.
 
     Texts of ASCII and Latin letters are cut into the pieces of the tokenizer itself, which its model then encodes.
     In other texts a piece is what stands between ASCII white space, and takes the whole way through the tokenizer;
-    that is exact where no token crosses white space, as `word_bpe` files have it: they drop white space.
+    that is exact where no token crosses white space, as `word_bpe` files have it: they drop white space. With any
+    other file a text is encoded as a whole, by the library.
     """
 
     def __init__(self, path: str):
@@ -184,25 +220,37 @@ class Memo(dict):
         self.model = self.tokenizer.model
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         rules = json.loads(self.tokenizer.to_str())
-        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
         cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PIECES} and rules["model"]["type"] == "BPE"
+        self.by_piece = (
+            (rules["normalizer"] or {}).get("normalizers") == _NORMAL
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"] == {"Regex": _PIECES}
+            and not cuts[1]["add_prefix_space"]
+            and not cuts[1]["use_regex"]
+            and rules["model"]["type"] == "BPE"
+            and all("<|" in t["content"] and not any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
+        )
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str | bytes) -> bytes:
         if len(self) > MEMO:
             self.clear()
         if isinstance(piece, str):
             text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
-            ids = [t.id for t in self.model.tokenize(text)]
+            value = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         else:
-            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = self[piece] = array("I", ids).tobytes()
+            value = self._whole(piece.decode("utf-8", "replace"))
+        self[piece] = value
         return value
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         text = text or ""
-        if self.plain and ("<|" not in text if text.isascii() else not _NOT_LATIN.search(text)):
+        if not self.by_piece:
+            return self._whole(text)
+        if _latin(text):
             return b"".join(map(self.__getitem__, _LATIN.findall(text.lower())))
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
@@ -213,78 +261,80 @@ def memo_of(path: str) -> Memo:
     return _MEMOS[path]
 
 
-def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> str:
-    """Writes the ids of every text, in ascending order of the key, as a table of blocks at path.
+def write_ids(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1, order: list[str] | None = None) -> str:
+    """Writes the ids of every text, in ascending order of the key (or by the columns of order), as a table of shards at path.
 
-    Columns: shard (in order of the key), block (in order in its shard), n_ids, keys (array), blob (see pack).
-    The texts are range-partitioned by key, a partition is a shard, and a block of a shard has its own grammar;
-    a task holds one block at a time. Null keys come first; a null text is empty and has the end id alone.
-    Rows with equal keys keep slots of their own, by text. An empty table writes no block.
+    Columns: part and shard (in order), n_ids, keys (array), blob (see pack). The texts are range-partitioned by the
+    order, a partition is a part, and its shards have a grammar each, so that what a task holds is bounded: a task holds
+    one shard at a time. Null keys come first; a null text is empty and has the end id alone. Rows with equal keys keep
+    places of their own, by text. Keys may have any type that Arrow has. An empty table writes no shard.
     """
-    kind = df.schema[key].dataType
-    rows = df.select(F.col(key), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    names = ["shard", "block", "n_ids", "keys", "blob"]
+    order = order or [key]
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)])
+    by = [F.col(f"_by{i}").asc_nulls_first() for i in range(len(order))]
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by, "_text").select("_key", "_text")
+    names = ["part", "shard", "n_ids", "keys", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         memo, end = memo_of(tokenizer), np.array([end_id], "<u4").tobytes()
-        base, shard, block = max(memo.base, end_id + 1), TaskContext.get().partitionId(), 0
-        keys, parts, ends, n = [], [], [], 0
+        base, part, shard = max(memo.base, end_id + 1), TaskContext.get().partitionId(), 0
+        keys, parts, ends, n, kind = [], [], [], 0, None
 
         def full() -> pa.RecordBatch:
             blob = pack(np.frombuffer(b"".join(parts), "<u4"), np.array(ends), base)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([keys], pa.list_(arrow_key)), pa.array([blob], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([keys], pa.list_(kind)), pa.array([blob], pa.binary())], names=names)
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memo.encode(t) + end
+            kind = batch.schema.field(0).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = memo.encode(t.as_py()) + end
                 keys.append(k)
                 parts.append(ids)
                 n += len(ids) // 4
                 ends.append(n)
-                if n >= BLOCK_IDS:
+                if n >= SHARD_IDS:
                     yield full()
-                    keys, parts, ends, n, block = [], [], [], 0, block + 1
+                    keys, parts, ends, n, shard = [], [], [], 0, shard + 1
         if keys:
             yield full()
 
-    rows.mapInArrow(run, f"shard int, block int, n_ids long, keys array<{kind.simpleString()}>, blob binary").write.parquet(path)
+    rows.mapInArrow(run, f"part int, shard int, n_ids long, keys array<{df.schema[key].dataType.simpleString()}>, blob binary").write.parquet(path)
     return path
 
 
 def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """A row for each document of the files at path: the key, shard, block, start, n_tokens and ids_crc32.
+    """A row for each document of the files at path: the key, part, shard, start, n_tokens and ids_crc32.
 
     start is the number of ids of all documents before it; ids_crc32 is over the decoded ids as little-endian unsigned
-    32-bit integers. Blocks get their starts from sums by shard, then over shards; blobs aren't shuffled.
+    32-bit integers. Shards get their starts from sums by part, then over parts; blobs aren't shuffled.
     """
     table = spark.read.parquet(path)
-    meta = table.select("shard", "block", "n_ids")
-    shards = meta.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
+    meta = table.select("part", "shard", "n_ids")
+    parts = meta.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select("shard", F.coalesce(F.sum("_n").over(before(Window.orderBy("shard"))), F.lit(0)).alias("_shard_start"))
-    blocks = meta.select("shard", "block", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("shard").orderBy("block"))), F.lit(0)).alias("_block_start"))
-    starts = blocks.join(shards, "shard").select("shard", "block", (F.col("_shard_start") + F.col("_block_start")).alias("_start"))
+    parts = parts.select("part", F.coalesce(F.sum("_n").over(before(Window.orderBy("part"))), F.lit(0)).alias("_part_start"))
+    shards = meta.select("part", "shard", F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("shard"))), F.lit(0)).alias("_shard_start"))
+    starts = shards.join(parts, "part").select("part", "shard", (F.col("_part_start") + F.col("_shard_start")).alias("_start"))
     kind = table.schema["keys"].dataType.elementType
-    names = [key, "shard", "block", "_at", "n_tokens", "ids_crc32"]
+    names = ["_key", "part", "shard", "_at", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, block, keys, blob in zip(*(batch.column(c) for c in range(4)), strict=True):
-                opened = Block(blob.as_py())
+            for part, shard, keys, blob in zip(*(batch.column(c) for c in range(4)), strict=True):
+                opened = Shard(blob.as_py())
                 raw, ends = opened.all().astype("<u4").tobytes(), opened.ends
                 at = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array([shard.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(ends - at, pa.int64()), pa.array(crc, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array([part.as_py()] * n, pa.int32()), pa.array([shard.as_py()] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(ends - at, pa.int64()), pa.array(crc, pa.int64())], names=names)
 
-    docs = table.select("shard", "block", "keys", "blob").mapInArrow(run, f"{key} {kind.simpleString()}, shard int, block int, _at long, n_tokens long, ids_crc32 long")
-    return docs.join(starts, ["shard", "block"]).select(key, "shard", "block", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
+    docs = table.select("part", "shard", "keys", "blob").mapInArrow(run, f"_key {kind.simpleString()}, part int, shard int, _at long, n_tokens long, ids_crc32 long")
+    return docs.join(starts, ["part", "shard"]).select(F.col("_key").alias(key), "part", "shard", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_ids(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """write_ids into path (else the shared folder), then read_ids from it."""
+def token_ids(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", path: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """write_ids into path (else a new folder below the shared one), then read_ids from it. The files stay."""
     spark = df.sparkSession
-    return read_ids(spark, write_ids(df, path or scratch_path(spark, "token-ids"), tokenizer, key, text), key)
+    return read_ids(spark, write_ids(df, path or scratch_path(spark, "token-ids"), tokenizer, key, text, order=order), key)
