@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroudlake.llm import neardup, warc
+from shroudlake.llm import common, neardup, toxicity, warc
 from shroudlake.llm.components import components
 from shroudlake.llm.decontam import contamination
 from shroudlake.llm.neardup import near_duplicates
+from shroudlake.llm.quality import FEATURES, statistics
 from shroudlake.llm.quotes import as_mail, link_quotes, parse
 from shroudlake.llm.toxicity import score_toxicity, train_linear
 
@@ -90,9 +93,11 @@ def family(seed=5, copies=140, words=70):
     return [(i * 7 % 1009, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [16, 2048])
-def test_no_link_of_a_large_family_is_lost(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "split", "most"), [(16, 1000, 100_000), (512, 16, 100_000), (8, 1, 100_000), (16, 0, 0)])
+def test_no_link_of_a_large_family_is_lost(spark, monkeypatch, block, split, most):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     rows = family()
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
     want = dict(zip((k for k, _ in rows), near_slowly(rows, 4), strict=True))
@@ -123,6 +128,23 @@ def test_short_forms_never_refuse_a_close_pair():
         assert not neardup._maybe(neardup._short(x), neardup._short(z), n, n, 80)
 
 
+def test_second_keys_lose_no_pair_within_the_radius():
+    """Of any two signatures within the radius that first meet in a chunk before the last two, a later chunk has two symbols in common."""
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        differ = np.zeros(neardup.SYMBOLS, bool)
+        for c in range(rng.integers(0, neardup.CHUNKS - 2)):  # chunks before the first one that they share
+            differ[c * neardup.LANES + rng.permutation(neardup.LANES)[:2]] = True
+        left = neardup.RADIUS - differ.sum()
+        free = rng.permutation(np.flatnonzero(~differ))[:left]
+        differ[free] = True
+        per_chunk = differ.reshape(neardup.CHUNKS, neardup.LANES).sum(axis=1)
+        first = int(np.argmax(per_chunk <= 1))
+        assert per_chunk[first] <= 1
+        if first < neardup.CHUNKS - 2:
+            assert (per_chunk[first + 1 :] <= 2).any()
+
+
 @pytest.mark.parametrize(("n", "given"), [(1000, False), (1200, True)])
 def test_samples_of_large_sets_drop_no_pair(spark, n, given):
     """Two sets whose samples have nothing in common, though as many shingles outside of them may be the same."""
@@ -173,7 +195,10 @@ def leaks_slowly(rows, items, window=8):
     return out
 
 
-def test_contamination(tables):
+@pytest.mark.parametrize(("most", "size"), [(100_000, 32 << 20), (60, 32 << 20), (100_000, 20_000)])
+def test_contamination(tables, monkeypatch, most, size):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", size)
     rows = [(r.doc_id, r.text) for r in tables("documents").collect()]
     items = [(r.item_id, r.text) for r in tables("benchmark").collect()]
     out = contamination(tables("documents"), tables("benchmark"))
@@ -203,7 +228,7 @@ RECORDS = "record_id long, url string, ts long, kind string, etag string, last_m
 
 def test_revisits(spark):
     rows = [
-        record(1, "http://Example.com/a/?utm_source=x#f", 10, "response", '"v1"', "mon", content_type="text/html", etag='"v1"', date="d1"),
+        record(1, "http://Example.com/a/?utm_source=x&#f", 10, "response", '"v1"', "mon", content_type="text/html", etag='"v1"', date="d1"),
         record(2, "https://www.example.com/a", 20, "revisit", 'W/"v1"', None, date="d2", etag='W/"v1"', content_length="0"),
         record(3, "https://example.com:443/a", 5, "revisit", '"v1"', None),
         record(4, "http://example.com/a", 30, "response", '"v2"', "tue", etag='"v2"'),
@@ -226,6 +251,27 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.limit(0)).collect() == []
 
 
+def test_addresses(spark):
+    same = [("http://a.org/p?b=2&a=1", "https://www.A.org:443/p?a=1&b=2#x"), ("http://a.org/p?q=%2fx", "http://a.org/p?q=%2Fx"), ("a.org", "http://user:pw@a.org/"), ("http://a.org/p/?utm_source=f&fbclid=1", "http://a.org/p")]
+    other = [("http://a.org/p?ref=main", "http://a.org/p?ref=dev"), ("http://a.org/P", "http://a.org/p"), ("http://a.org/p?a=1", "http://a.org/p?a=2"), ("http://a.org/p?utm", "http://a.org/p")]
+    df = spark.createDataFrame([(a, b) for a, b in same + other], "a string, b string").select(warc.canonical_url(F.col("a")).alias("a"), warc.canonical_url(F.col("b")).alias("b"))
+    assert [r.a == r.b for r in df.collect()] == [True] * len(same) + [False] * len(other)
+    mine = spark.createDataFrame([("http://a.org/p?sid=1&x=2",)], "a string").select(warc.canonical_url(F.col("a"), ("sid",)).alias("a"))
+    assert mine.first().a == "a.org/p?x=2"
+
+
+def test_a_response_of_the_same_moment_and_name_is_not_earlier(spark):
+    df = spark.createDataFrame([record(1, "http://x.org/", 5, "response", '"a"'), record(1, "http://x.org/", 5, "revisit", '"a"')] * 2, RECORDS)
+    assert [r.status for r in warc.resolve_revisits(df).collect() if r.kind == "revisit"] == ["missing"] * 2
+
+
+def test_long_headers_and_addresses(spark):
+    long = "x" * 200_000
+    rows = [record(1, f"http://x.org/{long}", 1, "response", '"a"', vary=long), record(2, f"http://x.org/{long}", 2, "revisit", '"a"')]
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORDS)).collect()}
+    assert got[2].refers_to == 1 and got[2].headers == {"vary": long}
+
+
 def test_one_address_may_hold_most_rows(spark):
     rows = [record(i, "http://hot.org/", i, "response" if i % 10 == 0 else "revisit", f'"{i // 10}"') for i in range(3000)] + [record(5000 + i, f"http://cold.org/{i}", i, "revisit", '"x"') for i in range(200)]
     out = warc.resolve_revisits(spark.createDataFrame(rows, RECORDS).repartition(5)).collect()
@@ -244,6 +290,54 @@ def test_warc_files(spark, tmp_path):
     assert {(r.record_id, r.refers_to) for r in warc.resolve_revisits(records.limit(2)).collect()} == {("<urn:1>", None), ("<urn:2>", "<urn:1>")}
 
 
+def six():
+    return [warc.write_record("response", f"http://x.org/{i}", "2024-01-02T03:04:05Z", f"<urn:{i}>", b"HTTP/1.1 200 OK\r\nETag: \"a\"\r\n\r\n" + bytes(random.Random(i).randbytes(400))) for i in range(6)]
+
+
+def test_damaged_members_are_told_and_passed():
+    members = six()
+    whole = [r["record_id"] for r in warc.read_records(b"".join(members))]
+    assert whole == [f"<urn:{i}>" for i in range(6)]
+    bad = bytearray(members[1])
+    bad[60:68] = bytes(b ^ 0xFF for b in bad[60:68])
+    got = list(warc.read_records(b"".join([members[0], bytes(bad), *members[2:]])))
+    assert [r["record_id"] for r in got if r["kind"] == "response"] == ["<urn:0>", "<urn:2>", "<urn:3>", "<urn:4>", "<urn:5>"]
+    told = [r for r in got if r["kind"] == "damaged"]
+    assert told and told[0]["headers"]["offset"] == str(len(members[0]))
+    kinds = lambda data: [r["kind"] for r in warc.read_records(data)]
+    assert kinds(b"".join(members) + b"\0" * 100) == ["response"] * 6 and kinds(b"".join(members) + b"junk") == ["response"] * 6 + ["damaged"]
+    assert kinds(members[0] + b"garbage" * 200 + members[1]) == ["response", "damaged", "response"] and kinds(members[0][:-9]) == ["response", "damaged"]
+    assert kinds(b"") == [] and kinds(b"\x1f\x8b") == ["damaged"]
+
+
+def test_damaged_records_of_plain_files():
+    plain = [gzip.decompress(m) for m in six()]
+    kinds = lambda data: [r["kind"] for r in warc.read_records(data)]
+    assert kinds(b"".join(plain)) == ["response"] * 6 and kinds(gzip.compress(b"".join(plain))) == ["response"] * 6
+    wrong = plain[1].replace(b"Content-Length: ", b"Content-Length: x")
+    assert kinds(plain[0] + wrong + plain[2]) == ["response", "damaged", "response"]
+    assert kinds(b"".join(plain)[:-300]) == ["response"] * 5 + ["damaged"]
+
+
+def test_headers_and_dates_of_files(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nVary: a\r\nSet-Cookie: x=1, 2\r\nvary: b\r\nset-cookie: y\r\n\r\nbody"
+    data = warc.write_record("response", "http://x.org/", "yesterday", "<urn:1>", http) + warc.write_record("response", "http://x.org/", "2024-01-02T03:04:05Z", "<urn:2>", http)
+    (tmp_path / "a.warc.gz").write_bytes(data + b"rest")
+    rows = warc.read_warc(spark, str(tmp_path / "a.warc.gz")).collect()
+    assert [(r.ts, r.kind) for r in rows] == [(None, "response"), (1704164645, "response"), (None, "damaged")]
+    assert rows[0].headers == {"vary": "a, b", "set-cookie": "x=1, 2\ny"}
+    assert Counter(r.status for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).collect()) == {"response": 2, None: 1}
+
+
+def test_pages_through_files(spark, tables, tmp_path):
+    """Every page written as a record, read back and compared."""
+    pages = tables("pages").collect()
+    for part in range(3):
+        (tmp_path / f"{part}.warc.gz").write_bytes(b"".join(warc.write_record("response", p.url, "2024-01-02T03:04:05Z", f"<urn:{p.page_id}>", b"HTTP/1.1 200 OK\r\n\r\n" + p.html.encode()) for p in pages if p.page_id % 3 == part))
+    got = {r.record_id: (r.url, bytes(r.body).decode()) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert got == {f"<urn:{p.page_id}>": (p.url, p.html) for p in pages}
+
+
 def test_parse_quotes():
     own, quotes = parse("Hi\n\nAnn wrote:\n> one\n> two\n>> deep\n> > deep too\n> three\n\nBye")
     assert own == "Hi\n\n\nBye" and quotes == [(1, "one\ntwo"), (2, "deep\ndeep too"), (1, "three")]
@@ -270,9 +364,48 @@ def test_parts_of_messages_are_linked(spark):
     assert got == [(0, None, 0, 0), (1, None, 0, 0), (2, 0, 2, 2), (3, 1, 1, 1), (4, 3, 1, 1), (5, None, 1, 0)]
 
 
+def order_slowly(parents):
+    """{turn: place in its thread}, from {turn: parent or None}."""
+    replies, out = defaultdict(list), {}
+    for turn, parent in sorted(parents.items()):
+        replies[parent].append(turn)
+    for root in replies[None]:
+        stack, n = [root], 0
+        while stack:
+            turn = stack.pop()
+            out[turn] = n
+            n += 1
+            stack += reversed(replies[turn])
+    return out
+
+
+def test_reply_order(spark):
+    rng, rows, want = random.Random(9), [], {}
+    for conv in range(12):
+        parents = {}
+        for turn in range(rng.choice((1, 3, 30, 60))):
+            parents[turn] = rng.choice([None, *range(turn)]) if turn else None
+            quote = "" if parents[turn] is None else f"\n> message {conv} {parents[turn]}"
+            rows.append((conv, turn, "u", f"message {conv} {turn}{quote}"))
+        want |= {(conv, turn): place for turn, place in order_slowly(parents).items()}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r.conv_id, r.turn): r.place for r in link_quotes(df).collect()}
+    assert got == want
+    two = [(1, 0, "u", "ask"), (1, 1, "u", "a\n> ask"), (1, 2, "u", "b\n> ask"), (1, 3, "u", "to b\n> b"), (1, 4, "u", "to a\n> a")]
+    out = link_quotes(spark.createDataFrame(two, "conv_id long, turn long, role string, text string")).orderBy("root", "place").collect()
+    assert [r.turn for r in out] == [0, 1, 4, 2, 3]
+
+
 def test_long_threads(spark):
     df = spark.range(70).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("message "), F.col("id").cast("string")).alias("text"))
-    assert all(r.depth == r.turn and r.root == 0 for r in link_quotes(as_mail(df)).collect())
+    assert all(r.depth == r.turn == r.place and r.root == 0 for r in link_quotes(as_mail(df)).collect())
+
+
+def test_very_long_messages(spark):
+    long = "\n\n".join(f"paragraph {i} " + "word " * 200 for i in range(400))
+    rows = [(1, 0, "u", long), (1, 1, "u", "yes\n" + "\n".join("> " + x for x in long.split("\n"))), (1, 2, "u", "> " + "paragraph 7 " + "word " * 200 + "\nthis one")]
+    got = {r.turn: (r.parent, r.n_linked, len(r.text)) for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, len(long.strip())), 1: (0, 1, 3), 2: (0, 1, 8)}
 
 
 def test_linear_models():
@@ -290,6 +423,101 @@ def test_toxicity_is_learned(spark):
     assert hit / sum(r.y == 1 for r in out) > 0.75 and hit / max(1, sum(r.toxic for r in out)) > 0.9
 
 
+def chain_slowly(documents, labels, categories):
+    """{doc_id: probabilities}: the sample, tokens, folds and features in plain Python; categories: functions of a label row."""
+    code = defaultdict(int)
+    for r in labels:
+        if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            code[r.doc_id] |= sum(1 << k for k, c in enumerate(categories) if c(r))
+    name = lambda i: hashlib.sha256(f"chain|{i}".encode()).hexdigest()[:15]
+    texts = {r.doc_id: r.text for r in documents}
+    rows = sorted((i for i in code if i in texts), key=name)
+    fold = np.array([zlib.crc32((texts[i] or "").encode()) % toxicity.FOLDS for i in rows])
+    y = np.array([[code[i] >> k & 1 for k in range(len(categories))] for i in rows], float)
+    words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    tokens = lambda w: [w, *(w[:k] + "-" for k in range(4, min(8, len(w))))]
+    held = [{t for w in words(texts[i]) for t in tokens(w)} for i in rows]
+
+    def best(k, train):
+        d, p = Counter(), Counter()
+        for at in np.flatnonzero(train).tolist():
+            d.update(held[at])
+            p.update(held[at] if y[at, k] else ())
+        pos, neg = int(y[train, k].sum()), int((1 - y[train, k]).sum())
+        z = {}
+        for t, n in d.items():
+            if n >= toxicity.LEAST:
+                share = n / (pos + neg)
+                z[t] = abs((p[t] / pos - (n - p[t]) / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-9))
+        return sorted(z, key=lambda t: (-z[t], t))[: toxicity.TOKENS]
+
+    def features(i, names):
+        c = words(texts[i])
+        n = Counter()
+        for w, m in c.items():
+            for t in tokens(w):
+                n[t] += m
+        return np.array([*statistics(texts[i]), *(np.sqrt(n[t] / max(1, sum(c.values()))) for t in names)])
+
+    def train(k, names, on, earlier):
+        x = np.array([np.float32(features(rows[at], names)) for at in np.flatnonzero(on)]).astype(float)
+        center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+        beta = train_linear(np.hstack(((x - center) / scale, earlier[on])), y[on, k], np.ones(int(on.sum())))
+        return lambda v, e: 1 / (1 + np.exp(-np.clip(np.hstack(((v - center) / scale, e)) @ beta[1:] + beta[0], -40, 40)))
+
+    earlier, out, every = np.zeros((len(rows), 0)), {i: [] for i in texts}, np.ones(len(rows), bool)
+    for k in range(len(categories)):
+        names = best(k, every)
+        link = train(k, names, every, earlier)
+        for i in texts:
+            out[i].append(float(link(features(i, names), np.array(out[i]))))
+        probability = np.zeros(len(rows))
+        for f in range(toxicity.FOLDS):
+            names = best(k, fold != f)
+            link = train(k, names, fold != f, earlier)
+            for at in np.flatnonzero(fold == f).tolist():
+                probability[at] = link(np.float32(features(rows[at], names)).astype(float), earlier[at])
+        earlier = np.hstack((earlier, probability[:, None]))
+    return out
+
+
+def test_toxicity_is_that_of_plain_python(tables):
+    documents, labels = tables("documents"), tables("labels")
+    want = chain_slowly(documents.collect(), labels.collect(), [lambda r: r.quality == 0, lambda r: r.toxic == 1])
+    for r in score_toxicity(documents, labels).collect():
+        assert abs(r.p_low_quality - want[r.doc_id][0]) < 1e-9 and abs(r.p_toxic - want[r.doc_id][1]) < 1e-9
+
+
+def test_a_chain_of_several_categories(spark):
+    """The labels here have one category of toxicity; with insult, threat and their union the chain is as long as the table."""
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(900):
+        insult, threat = rng.random() < 0.3, rng.random() < 0.3
+        words = [f"plain{rng.randrange(60)}" for _ in range(40)] + ["idiotish"] * insult + ["clobberyou"] * threat
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult), int(threat)))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, insult int, threat int")
+    out = score_toxicity(df, known, {"insult": "insult = 1", "threat": "threat = 1", "any": "insult = 1 OR threat = 1"}).collect()
+    assert out[0].asDict().keys() == {"doc_id", "held_out", "p_insult", "p_threat", "p_any", "toxic"}
+    truth = {i: (a, b, a or b) for i, a, b in labels}
+    for r in out:
+        if r.held_out:
+            assert ((r.p_insult > 0.5), (r.p_threat > 0.5), r.toxic) == tuple(map(bool, truth[r.doc_id]))
+
+
+def test_one_key_with_many_rows_is_learned_from_once(spark):
+    rows = [(0, f"hot text number {i} of very many") for i in range(3000)] + [(i, f"cold text number {i}") for i in range(1, 101)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, i % 2) for i in range(101)], "doc_id long, quality int, toxic int")
+    texts, totals = toxicity.sample(df.repartition(3), labels, {"toxic": "toxic = 1"}, "doc_id", "text")
+    held = {i for i in range(101) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert texts.count() == 101 - len(held) == sum(totals.values())
+    first = [r["_t"] for r in texts.orderBy("_t").collect()]
+    assert first == [r["_t"] for r in toxicity.sample(df.repartition(5), labels, {"toxic": "toxic = 1"}, "doc_id", "text")[0].orderBy("_t").collect()]
+    same = spark.createDataFrame([(i, "a copy of one text") for i in range(40)], "doc_id long, text string")
+    assert toxicity.sample(same, labels, {"toxic": "toxic = 1"}, "doc_id", "text")[0].select("_fold").distinct().count() == 1
+
+
 def test_toxicity_of_edge_rows(spark, docs, empty):
     labels = spark.createDataFrame([(7, 1, 1), (3, 0, None), (5, None, 0), (None, 1, 1), (9, 0, 1), (9, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     out = score_toxicity(docs, labels).collect()

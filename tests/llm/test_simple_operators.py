@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,11 +13,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shroudlake.llm import tokens
-from shroudlake.llm.mixing import mix, targets
+from shroudlake.llm import common, quality, tokens
+from shroudlake.llm.mixing import fair_queue, mix, targets
 from shroudlake.llm.quality import FEATURES, score_quality, statistics
 from shroudlake.llm.queries import tokenizer_path
-from shroudlake.llm.rules import POLICIES, RULES, ablation, apply_policy, ledger, mask_of, measure
+from shroudlake.llm.rules import CURRENT, MEASURES, POLICIES, RULES, ablation, apply_policy, ledger, mask_of, measure
 from shroudlake.llm.sharding import jump, shard
 
 from .conftest import ROWS
@@ -72,6 +74,37 @@ def test_quality_is_learned(spark, tables):
     assert same.isEmpty()
 
 
+def test_quality_is_that_of_plain_numpy(tables):
+    """Moments by sums in Python, covariances and log-densities by numpy without factors."""
+    documents, labels = tables("documents").collect(), {r.doc_id: r.quality for r in tables("labels").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    x = {r.doc_id: np.array(statistics(r.text)) for r in documents}
+    learn = [(labels[i], np.rint(v * quality.UNIT) / quality.UNIT) for i, v in x.items() if i in labels and not held(i)]
+    every = np.array([v for _, v in learn])
+    center, scale = every.mean(axis=0), np.sqrt(np.maximum(every.var(axis=0), 1e-4))
+    classes, d = {}, len(FEATURES)
+    for label in (0, 1):
+        z = (np.array([v for y, v in learn if y == label]) - center) / scale
+        classes[label] = (len(z), z.mean(axis=0), (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)))
+    n = sum(c[0] for c in classes.values())
+    pooled = sum(c[2] for c in classes.values()) / (n - 2)
+
+    def density(label, v):
+        m, mean, scatter = classes[label]
+        pool = max(quality.POOL, min(1.0, 2 * d / m))
+        cov = (1 - pool) * scatter / (m - 1) + pool * pooled
+        cov = (1 - quality.RIDGE) * cov + quality.RIDGE * np.eye(d) * max(np.trace(cov) / d, 1e-3)
+        diff = (v - center) / scale - mean
+        return -0.5 * np.linalg.slogdet(cov)[1] - 0.5 * diff @ np.linalg.solve(cov, diff) + np.log((m + 1) / (n + 2))
+
+    got = score_quality(tables("documents"), tables("labels")).collect()
+    for r in got:
+        want = 1 / (1 + np.exp(-np.clip(density(1, x[r.doc_id]) - density(0, x[r.doc_id]), -500, 500)))
+        assert abs(r.score - want) < 1e-9 and r.held_out == held(r.doc_id) and r.predicted == (r.score >= 0.7)
+    again = {r.doc_id: r.score for r in score_quality(tables("documents").repartition(7), tables("labels").repartition(3)).collect()}
+    assert again == {r.doc_id: r.score for r in got}  # to the bit
+
+
 def test_quality_of_edge_rows(spark, docs, empty, tables):
     labels = spark.createDataFrame([(7, 1), (7, 0), (3, 1), (5, 0), (None, 1), (6, None), (8, 5)], "doc_id long, quality int")
     out = score_quality(docs, labels).collect()
@@ -83,38 +116,73 @@ def test_quality_of_edge_rows(spark, docs, empty, tables):
 
 def measure_slowly(text):
     text = text or ""
-    words = [w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", text)]
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     counts = Counter(windows)
     covered = {j for i, w in enumerate(windows) if counts[w] > 1 for j in (i, i + 1, i + 2)}
-    lines = [x for x in text.split("\n") if __import__("re").search(r"[^\x20\x09-\x0D]", x)]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    in_line = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
     upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
-    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines), upper, upper + lower)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0D]*[-*•]", x)) for x in lines)
+    open_ends = sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*$", x)) for x in lines)
+    control = len(re.findall("[\x00-\x08\x0e-\x1f\x7f\ufffd]", text))
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines), upper, upper + lower,
+        sum(map(in_line, lines)) - sum(map(in_line, set(lines))), sum("0" <= c <= "9" for c in text), sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", w)) for w in words),
+        len(set(words)), max((len(w.encode()) for w in words), default=0), bullets, open_ends, control,
+    )
+
+
+def fails(text):
+    """The names of the rules that a text fails."""
+    names = dict(zip(MEASURES, measure_slowly(text), strict=True))
+    return [rule for rule, condition in RULES.items() if eval(condition.replace(" AND ", " and ").replace(" OR ", " or "), {}, names)]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab \n\t#|É \x1c", max_size=60))
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab 1\n\t#|É\x1c\x00-*•.…\ufffd", max_size=60))
 def test_measures(text):
     assert measure(text) == measure_slowly(text)
 
 
 def test_ledger(spark, docs, empty):
     rows = ledger(docs).collect()
-    assert sorted(tuple(r[1:9]) for r in rows) == sorted(measure_slowly(t) for _, t, _ in ROWS)
+    assert sorted(tuple(r[1:-1]) for r in rows) == sorted(measure_slowly(t) for _, t, _ in ROWS)
     kept = apply_policy(ledger(docs), "base").collect()
     for r in kept:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed)
     assert ledger(empty).collect() == [] and ledger(docs, carry=("size",)).columns[:2] == ["doc_id", "size"]
 
 
+LIST = "\n".join(f"- point number {i} of the list" for i in range(20))
+JUNK = {
+    "too_few_words": "a few words", "repeated_windows": "one two three four " * 30, "many_symbols": "word### " * 60, "shouting": "THIS IS LOUD " * 30, "repeated_lines": "\n".join(f"a line with words {i % 3}" for i in range(40)),
+    "word_length": "x " * 80, "mostly_digits": " ".join(f"a{i}{i}{i}" for i in range(1000, 1100)), "words_without_letters": " ".join(f"{i} word{i}" for i in range(60)), "poor_vocabulary": "alpha beta gamma " * 100,
+    "endless_word": "word " * 60 + "x" * 2000, "bullet_list": LIST, "broken_off_lines": "\n".join(f"a line number {i} that goes on..." for i in range(20)), "control_characters": "plain text\x00\x01 here " * 30,
+}
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_each_rule_has_a_text_that_fails_it(rule):
+    prose = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} of" for i in range(120)) + "."
+    assert rule in fails(JUNK[rule]) and fails(prose) == []
+
+
+def test_a_short_text_of_repeated_lines_stays():
+    verse = "\n".join(["row row row your boat gently down the stream today my dear old friend", "merrily we go along"] * 2 + [f"and then we sing verse number {'abcdefgh'[i]} of the long song again" for i in range(8)])
+    assert "repeated_lines" not in fails(verse)
+
+
 def test_ablation(tables):
     book = ledger(tables("documents")).cache()
-    got = {r.rule: (r.failed, r.failed_alone, r.kept_without) for r in ablation(book).collect()}
-    bits = [r.failed_bits & mask_of(POLICIES["v2"]) for r in book.collect()]
-    names = list(RULES)
-    for rule in POLICIES["v2"]:
-        bit = 1 << names.index(rule)
-        assert got[rule] == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(b in (0, bit) for b in bits))
+    for version in POLICIES:
+        got = {r.rule: (r.failed, r.failed_alone, r.kept_without) for r in ablation(book, version).collect()}
+        bits = [r.failed_bits & mask_of(POLICIES[version]) for r in book.collect()]
+        names = list(RULES)
+        for rule in POLICIES[version]:
+            bit = 1 << names.index(rule)
+            assert got[rule] == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits), sum(b in (0, bit) for b in bits))
+    assert CURRENT == "v3" and set(POLICIES["v3"]) == set(RULES)
 
 
 def fill(sizes, weights=(5, 2, 1), epochs=3):
@@ -158,17 +226,66 @@ def test_mix(spark, tables, docs, empty):
     assert mix(empty).collect() == [] and "Python" not in edges._jdf.queryExecution().executedPlan().toString()
 
 
-def test_mix_is_a_prefix_of_the_queue(tables):
-    """What is taken is the longest prefix, by finish time, of all copies that fits."""
-    rows = mix(tables("documents")).collect()
-    order = sorted(((r.finish * r.target + e * r.source_size) / r.target, r.source_rank, r.size, r.doc_id) for r in rows if r.size for e in range(3))
-    total, taken = 0, Counter()
-    for _, _, size, doc in order:
-        if total + size > sum(r.size for r in rows):
+def mix_slowly(rows, seed="mix-1", weights=(5, 2, 1), epochs=3):
+    """[(finish, rank, key, size)] of the copies that are taken, in order; rows: (key, text, source), keys different."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target, copies = fill(sizes, weights, epochs), []
+    for rank, name in enumerate(names, 1):
+        before = 0
+        for key, t, _ in sorted((r for r in rows if r[2] == name), key=lambda r: hashlib.sha256(f"{seed}|{r[0]}".encode()).hexdigest()[:15]):
+            n = size(t)
+            copies += [((e * sizes[name] + before + n) / target[name], rank, key, n) for e in range(epochs) if n and target[name]]
+            before += n
+    total, out = 0, []
+    for c in sorted(copies):
+        if total + c[3] > sum(sizes.values()):
             break
-        total += size
-        taken[doc] += size
-    assert {r.doc_id: r.taken for r in rows if r.taken} == dict(taken)
+        out.append((*c, total))
+        total += c[3]
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_the_queue_is_that_of_plain_python(tables, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rows = [(r.doc_id, r.text, r.source) for r in tables("documents").collect()]
+    documents, queue = fair_queue(tables("documents"))
+    want = mix_slowly(rows)
+    got = sorted(queue.collect(), key=lambda r: r.position)
+    assert [(r.doc_id, r["size"], r.position) for r in got] == [(k, n, at) for _, _, k, n, at in want]
+    assert {r.doc_id: r.copies for r in documents.collect() if r.copies} == dict(Counter(k for _, _, k, _, _ in want))
+
+
+def test_many_rows_of_one_key(spark):
+    """A hot null key, with equal and with different texts, is numbered by ranges: no task has it all."""
+    df = spark.range(20_000, numPartitions=5).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 8 > 1, "same").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 3 == 0, "hot").alias("source"))
+    out = shard(df, shards=3)
+    rows = out.collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 20_000 and all(sorted(s) == list(range(len(s))) for s in slots.values()) and len({r.shard for r in rows if r.doc_id is None}) == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = common.in_ranges(common.numbered(df.select("doc_id", "text")), "doc_id", "text", "_row").groupBy("_part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 8_000
+    mixed = mix(df).collect()
+    assert len(mixed) == 20_000 and 0 <= sum(r["size"] for r in mixed) - sum(r.taken for r in mixed) < 10
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 7 + 1), f"host{i % 900:03d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for _, _, key, n, _ in mix_slowly(rows):
+        want[key] += n
+    assert {r.doc_id: r.taken for r in mix(df).collect() if r.taken} == dict(want)
 
 
 @settings(max_examples=150, deadline=None)
@@ -176,7 +293,7 @@ def test_mix_is_a_prefix_of_the_queue(tables):
 def test_grammars_keep_ids(ids, base):
     ids = np.array(ids * 3, np.uint32)
     ends = np.array(sorted({0, len(ids) // 3, len(ids)}))
-    block = tokens.Block(tokens.pack(ids, ends, base))
+    block = tokens.Shard(tokens.pack(ids, ends, base))
     assert block.all().tolist() == ids.tolist() and block.size.sum() == sum(len(tokens.expand(np.array([base + k]), block.table)) for k in range(len(block.rules)))
     for k, end in enumerate(ends):
         assert block.doc(k).tolist() == ids[ends[k - 1] if k else 0 : end].tolist()
@@ -213,6 +330,32 @@ def test_token_files(spark, docs, empty, tables, monkeypatch, tmp_path):
     assert tokens.token_ids(empty, tokenizer_path()).collect() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library_for_every_tokenizer(tables, name):
+    memo = tokens.Memo(tokenizer_path(name))
+    texts = [r.text for r in tables("documents").collect()] + ["Hello world, how are  you", "a\n\n b <|endoftext|>x ", *ODD]
+    for text in texts:
+        assert np.frombuffer(memo.encode(text), "<u4").tolist() == memo.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "date", "decimal(9,2)", "double", "binary"])
+def test_token_files_with_other_keys(spark, kind):
+    rows = [(k, t) for k, t in ((3, "three"), (1, "one"), (2, None), (None, "none"), (1, "again"))]
+    number = F.col("k").cast("int")
+    key = F.date_add(F.lit("2024-01-01").cast("date"), number) if kind == "date" else F.col("k").cast("string").cast("binary") if kind == "binary" else F.col("k").cast(kind)
+    df = spark.createDataFrame(rows, "k long, text string").select(key.alias("doc_id"), "text", F.lit(1).alias("shard"))
+    out = tokens.token_ids(df, tokenizer_path())
+    assert dict(out.dtypes)["doc_id"] == kind
+    got = [r.doc_id for r in sorted(out.collect(), key=lambda r: r.start)]
+    assert got == [r.doc_id for r in df.orderBy(F.col("doc_id").asc_nulls_first(), "text").collect()]
+
+
+def test_token_files_in_another_order(spark):
+    df = spark.createDataFrame([(i, f"text {i}", (i * 37) % 101) for i in range(100)], "doc_id long, text string, place long")
+    out = tokens.token_ids(df, tokenizer_path(), order=["place"])
+    assert [r.doc_id for r in sorted(out.collect(), key=lambda r: r.start)] == [r.doc_id for r in df.orderBy("place").collect()]
+
+
 def test_grammars_replace_every_frequent_pair():
     rng = np.random.default_rng(7)
     once = rng.integers(0, 50_000, 400, dtype=np.uint32)
