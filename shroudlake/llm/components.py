@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import common
+from .common import cut, discard, scratch_path
 
 #: Rounds after which something must be wrong: each at least halves the depth of every tree.
 MOST_ROUNDS = 60
@@ -15,10 +16,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of a link, the smallest node that it reaches.
 
     Alternates large stars (each node points its larger neighbours at the smallest one) and small stars (the same
-    for smaller neighbours) until nothing changes. A hub is an aggregation with partial sums and a join on its
-    id, which Spark splits when it is skewed. Links to itself and with nulls count for nothing; repeated ones count
-    once; without links the result is empty.
+    for smaller neighbours) until nothing changes. A hub is an aggregation with partial sums and a join with the table of
+    smallest neighbours: a broadcast if there are few links, else a stored table, so that Spark can split the hub. Links to
+    itself and with nulls count for nothing; repeated ones count once; without links the result is empty.
     """
+    spark, stored = links.sparkSession, []
+
+    def table(df: DataFrame, n_links: int) -> DataFrame:
+        if 2 * n_links <= common.BROADCAST_ROWS:  # it has no more rows than links have ends
+            return F.broadcast(df)
+        stored.append(scratch_path(spark, "smallest"))
+        df.write.parquet(stored[-1])
+        return spark.read.parquet(stored[-1])
+
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     edges, mark = cut(edges.distinct()), None
     for _ in range(MOST_ROUNDS):
@@ -28,10 +38,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where(F.col("v") > F.col("u")).join(table(least, now[0]), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(table(least, now[0]), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        while stored:
+            discard(spark, stored.pop())
     else:
         raise RuntimeError("components don't settle")
     roots = edges.select(F.col("v").alias("u"), "v")

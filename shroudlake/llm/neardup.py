@@ -5,9 +5,10 @@ symbols at most have, by the pigeonhole principle, a chunk with one difference a
 allowed error of each chunk (the chunk without one of its symbols: 64 keys a text) and finds all such pairs. A pair of
 Jaccard similarity 0.8 differs in 12.8 symbols on average, and in more than 31 with a probability below 1e-6.
 
-Within a bucket pairs aren't all written out. Each member is first compared with the smallest one; what that doesn't
-join is compared in blocks of bounded size inside tasks, on short forms of the sets (by signatures alone where a set is
-large), and only pairs that pass are written. Buckets of many blocks are first split by a second key that loses no pair
+Within a bucket pairs aren't all written out. Each member is first compared with the smallest one, and in large buckets
+then with a few others. What that doesn't join to the bucket's largest component is compared with all members in blocks
+of bounded size inside tasks, on short forms of the sets (by signatures alone where a set is large), and only pairs
+that pass are written. Where that would be many blocks the bucket is first split by a second key that loses no pair
 either. All links are confirmed on full shingle sets.
 """
 
@@ -30,9 +31,11 @@ SYMBOLS = CHUNKS * LANES
 #: Most differing symbols for which a chunk with one error at most is certain.
 RADIUS = 2 * CHUNKS - 1
 #: Members of a bucket that are compared with each other in one go.
-BLOCK = 512
-#: Blocks beyond which a bucket is split by a second key.
-SPLIT = 16
+BLOCK = 2048
+#: Pairs of blocks beyond which a bucket is split by a second key.
+SPLIT = 64
+#: Members, one after the other, with which all members of a bucket of more than one block are compared first.
+STARS = 3
 #: Shingles in a set's short form, which is all of them (in 32 bits) up to so many, else a sample by hash.
 SHORT = 1024
 #: Standard deviations below the similarity asked for that an estimate from samples may have.
@@ -200,7 +203,8 @@ def _lanes(x: str, y: str) -> F.Column:
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in blocks of buckets, close by signature and by short form.
 
-    rows: bucket, which (the bucket's key number), i, j (blocks), own (the row's block), node, component, n_shingles,
+    rows: bucket, which (the bucket's key number), i (a block of those that are compared with all), j (a block of all),
+    mine and own (the row's blocks; mine is -1 for members of the largest component), node, component, n_shingles,
     signature, short. A pair is given in the first bucket that both share alone. A task holds two blocks of one bucket.
     A pair with a set of more than SHORT shingles is given by its signatures alone, since samples could lose a link.
     """
@@ -214,7 +218,7 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
         sign = np.array([r["signature"] for r in group], "<i8").view("<u2").reshape(len(group), SYMBOLS)
         n = np.array([r["n_shingles"] for r in group], np.int64)
         which, i, j = (group[0][c] for c in ("which", "i", "j"))
-        own = np.array([r["own"] for r in group])
+        mine, own, nodes = (np.array([r[c] for r in group]) for c in ("mine", "own", "node"))
         others = np.flatnonzero(own == j)
         shorts: dict[int, np.ndarray] = {}
 
@@ -223,8 +227,8 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
                 shorts[i] = np.frombuffer(group[i]["short"], np.uint32)
             return shorts[i]
 
-        for k in np.flatnonzero(own == i).tolist():
-            at = others if i != j else others[others > k]
+        for k in np.flatnonzero(mine == i).tolist():
+            at = others[(mine[others] < 0) | (nodes[others] > nodes[k])]  # two that are both compared with all meet twice
             at = at[(comp[at] != comp[k]) & (100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k]))]
             if not len(at):
                 continue
@@ -282,9 +286,22 @@ def classes(base: DataFrame, key: str) -> DataFrame:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """(bucket, which, blocks) of the buckets whose members aren't all of one component."""
-    found = members.groupBy("bucket", "which").agg(F.min("component").alias("_a"), F.max("component").alias("_z"), F.count("*").alias("_m"))
-    return found.where("_a != _z").select("bucket", "which", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks"))
+    """(bucket, which, most, own_blocks, my_blocks) of the buckets whose members aren't all of one component: the largest
+    component, and the blocks of all members and of those outside of it."""
+    each = members.groupBy("bucket", "which", "component").agg(F.count("*").alias("_n"))
+    found = each.groupBy("bucket", "which").agg(F.max(F.struct("_n", "component")).alias("_most"), F.sum("_n").alias("_m")).where(F.col("_m") > F.col("_most._n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    return found.select("bucket", "which", F.col("_most.component").alias("most"), blocks(F.col("_m")).alias("own_blocks"), blocks(F.col("_m") - F.col("_most._n")).alias("my_blocks"))
+
+
+def _in_blocks(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The members of mixed buckets once for each pair of blocks (i, j) that they are in, with their own blocks."""
+    rows = members.join(mixed, ["bucket", "which"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("own_blocks")).cast("int"))
+    rows = rows.withColumn("mine", F.when(F.col("component") == F.col("most"), -1).otherwise(F.pmod(F.xxhash64("node"), F.col("my_blocks"))).cast("int"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    as_own = F.transform(F.sequence(F.lit(0), F.col("my_blocks") - 1), lambda i: pair(i, F.col("own")))
+    as_mine = F.transform(F.sequence(F.lit(0), F.col("own_blocks") - 1), lambda j: pair(F.col("mine"), j))
+    return rows.select("bucket", "which", "node", "component", "own", "mine", F.inline(F.when(F.col("mine") < 0, as_own).otherwise(F.array_union(as_own, as_mine))))
 
 
 def _split(members: DataFrame, narrow: DataFrame) -> DataFrame:
@@ -320,25 +337,43 @@ def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     sets = cut(_sets(rows.join(small(nodes), "row"), "text", words))
     narrow = reps.join(small(nodes.select("node")), "node", "left_semi")
     side = lambda n: narrow.select(F.col("node").alias(n), F.col("n_shingles").alias(f"_n{n}"), F.col("signature").alias(f"_s{n}"))
-    stars = members.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_lanes("_sa", "_sb") <= RADIUS))
-    found = cut(_confirm(stars, sets, percent))
-    joined = cut(components(found))
 
-    rest = members.where(F.col("lead") != F.col("node")).join(joined, "node", "left").select("bucket", "which", "node", F.coalesce("component", "node").alias("component"))
+    def star(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links."""
+        close = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")) & (_lanes("_sa", "_sb") <= RADIUS))
+        return cut(_confirm(close, sets, percent))
+
+    def join(more: DataFrame, joined: DataFrame) -> DataFrame:
+        """(node, component) once the pairs of more are links too."""
+        return cut(components(more.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b")))))
+
+    def rest_of(joined: DataFrame) -> DataFrame:
+        return members.where(F.col("lead") != F.col("node")).join(joined, "node", "left").select("bucket", "which", "node", F.coalesce("component", "node").alias("component"))
+
+    joined = cut(components(star(members.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())))
+    rest = rest_of(joined)
     mixed = cut(_mixed(rest))
-    heavy = mixed.where((F.col("blocks") > SPLIT) & (F.col("which") < LANES * (CHUNKS - 2))).select("bucket")
-    parts = rest.join(mixed, ["bucket", "which"])
-    if not heavy.isEmpty():
+    for k in range(STARS):
+        large = mixed.where("own_blocks > 1").select("bucket")
+        if large.isEmpty():
+            break
+        some = rest.join(large, "bucket")
+        leads = some.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(k))).alias("_lead"))
+        pairs = some.join(leads, "bucket").where(F.col("component") != F.col("_lead.component")).select(F.col("_lead.node").alias("a"), F.col("node").alias("b"))
+        more = star(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not more.isEmpty():
+            joined = join(more, joined)
+            rest = rest_of(joined)
+            mixed = cut(_mixed(rest))
+    heavy = mixed.where((F.col("own_blocks").cast("long") * F.col("my_blocks") > SPLIT) & (F.col("which") < LANES * (CHUNKS - 2))).select("bucket")
+    if heavy.isEmpty():
+        parts = _in_blocks(rest, mixed)
+    else:
         finer = cut(_split(rest.join(heavy, "bucket"), narrow))
-        parts = parts.join(heavy, "bucket", "left_anti").unionByName(finer.join(cut(_mixed(finer)), ["bucket", "which"]))
-    rest = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other"))
-    rest = rest.join(narrow, "node").join(sets.select("node", "short"), "node").select("bucket", "which", "i", "j", "own", "node", "component", "n_shingles", "signature", "short")
-    more = cut(_confirm(_compare(rest, percent).distinct(), sets, percent))
-    if not more.isEmpty():
-        joined = cut(components(more.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b")))))
-    return joined
+        parts = _in_blocks(rest, mixed.join(heavy, "bucket", "left_anti")).unionByName(_in_blocks(finer, cut(_mixed(finer))))
+    rows = parts.join(narrow, "node").join(sets.select("node", "short"), "node").select("bucket", "which", "i", "j", "mine", "own", "node", "component", "n_shingles", "signature", "short")
+    more = cut(_confirm(_compare(rows, percent).distinct(), sets, percent))
+    return joined if more.isEmpty() else join(more, joined)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -177,7 +177,8 @@ def choose(texts: DataFrame, n_categories: int) -> dict[tuple[int, int], list[st
     has = lambda k: F.col("code").bitwiseAND(F.lit(1 << k)) != 0
     some = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias
     sums = [some(F.col("fold") != f)(f"d_{f}") for f in range(FOLDS + 1)] + [some(has(k) & (F.col("fold") != f))(f"p{k}_{f}") for k in range(n_categories) for f in range(FOLDS + 1)]
-    tokens = cut(seen.groupBy("token").agg(*sums).where(F.col(f"d_{FOLDS}") >= LEAST))
+    # a table that the sample bounds: few parts, so that few rows of each meet for the best ones
+    tokens = cut(seen.groupBy("token").agg(*sums).where(F.col(f"d_{FOLDS}") >= LEAST).coalesce(16))
     rows = [(r["_code"], r["_fold"], r["n"]) for r in texts.groupBy("_code", "_fold").agg(F.count("*").alias("n")).collect()]
     best = None
     for k in range(n_categories):

@@ -93,8 +93,10 @@ def family(seed=5, copies=140, words=70):
     return [(i * 7 % 1009, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("block", "split", "most"), [(16, 1000, 100_000), (512, 16, 100_000), (8, 1, 100_000), (16, 0, 0)])
-def test_no_link_of_a_large_family_is_lost(spark, monkeypatch, block, split, most):
+@pytest.mark.parametrize("stars", [0, 3])
+@pytest.mark.parametrize(("block", "split", "most"), [(16, 1000, 100_000), (2048, 64, 100_000), (8, 1, 100_000), (16, 0, 0)])
+def test_no_link_of_a_large_family_is_lost(spark, monkeypatch, block, split, most, stars):
+    monkeypatch.setattr(neardup, "STARS", stars)
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "SPLIT", split)
     monkeypatch.setattr(common, "BROADCAST_ROWS", most)
@@ -148,8 +150,8 @@ def test_second_keys_lose_no_pair_within_the_radius():
 @pytest.mark.parametrize(("n", "given"), [(1000, False), (1200, True)])
 def test_samples_of_large_sets_drop_no_pair(spark, n, given):
     """Two sets whose samples have nothing in common, though as many shingles outside of them may be the same."""
-    rows = [(1, 0, 0, 0, 0, i, i, n, [7] * neardup.CHUNKS, np.arange(i * 600, i * 600 + 600, dtype=np.uint32).tobytes()) for i in (1, 2)]
-    df = spark.createDataFrame(rows, "bucket long, which byte, i int, j int, own int, node long, component long, n_shingles long, signature array<long>, short binary")
+    rows = [(1, 0, 0, 0, 0, 0, i, i, n, [7] * neardup.CHUNKS, np.arange(i * 600, i * 600 + 600, dtype=np.uint32).tobytes()) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "bucket long, which byte, i int, j int, mine int, own int, node long, component long, n_shingles long, signature array<long>, short binary")
     assert [tuple(x) for x in neardup._compare(df, 80).collect()] == ([(1, 2)] if given else [])
 
 
