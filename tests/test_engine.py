@@ -201,3 +201,32 @@ def test_compare(spark):
     assert [(r.column, r.before, r.after, r.changed) for r in sorted(rows)] == [("v", "ab", "**", True), ("w", "x", None, True)]
     diff = policy_diff(df, "t", policy({"t": cols(v="mask")}), policy({"t": cols(v="mask", w="nullify")}))
     assert {(r.column, r.n_changed, r.status) for r in diff.collect()} == {("v", 0, "IDENTICAL"), ("w", 1, "CHANGED")}
+
+
+def test_subset_closes_keys_to_the_same_table(spark):
+    rows = [(1, None), (2, 5), (3, 2), (4, 1), (5, 6), (6, None), (7, 3)]
+    employees = spark.createDataFrame(rows, "id int, boss int")
+    tasks = spark.createDataFrame([(10, 1, None), (11, 2, 10), (12, 4, 11), (13, 5, 14), (14, 4, None), (15, 2, 13)], "id int, owner int, after int")
+    keys = [ForeignKey("employees", ("boss",), "employees", ("id",)), ForeignKey("tasks", ("owner",), "employees", ("id",)), ForeignKey("tasks", ("after",), "tasks", ("id",))]
+    out = subset({"employees": employees, "tasks": tasks}, keys, "employees", limit=2)
+    assert sorted(r.id for r in out["employees"].collect()) == [1, 2, 5, 6]  # 2's boss is 5, whose boss is 6
+    # 12 and 14 belong to 4, who isn't kept; 13 comes after 14, 15 after 13
+    assert sorted(r.id for r in out["tasks"].collect()) == [10, 11]
+
+
+def test_subset_closes_circles(spark):
+    people = spark.createDataFrame([(1, 10), (2, 20), (3, 10), (4, None)], "id int, team int")
+    teams = spark.createDataFrame([(10, 3), (20, 2), (30, 4)], "id int, lead int")
+    notes = spark.createDataFrame([(1, 3), (2, 2), (3, 4)], "id int, person int")
+    keys = [ForeignKey("people", ("team",), "teams", ("id",)), ForeignKey("teams", ("lead",), "people", ("id",)), ForeignKey("notes", ("person",), "people", ("id",))]
+    out = subset({"people": people, "teams": teams, "notes": notes}, keys, "people", where="id = 1")
+    assert {t: sorted(r.id for r in df.collect()) for t, df in out.items()} == {"people": [1, 3], "teams": [10], "notes": [1]}
+
+
+def test_subset_scans_each_table_once(spark, tmp_path):
+    spark.range(50).select("id", *[F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias(f"k{i}") for i in range(8)]).write.parquet(str(tmp_path / "child"))
+    child, parent = spark.read.parquet(str(tmp_path / "child")), spark.range(5).withColumnRenamed("id", "key")
+    keys = [ForeignKey("child", (f"k{i}",), "parent", ("key",)) for i in range(8)]
+    out = subset({"parent": parent, "child": child}, keys, "parent", limit=3)["child"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert sorted(r.id for r in out.collect()) == [i for i in range(50) if i % 7 == 0 or i % 5 < 3]
