@@ -58,7 +58,7 @@ def do_mask(spark: SparkSession, args: argparse.Namespace) -> int:
         rule = policy.table(name)
         counts = seen.get if rule is None or not rule.truncate else counts
     if args.audit:
-        record = audit.audit_record(policy, args.input, args.output, counts | {"elapsed_seconds": round(time.monotonic() - start, 3)})
+        record = audit.audit_record(policy, args.input, args.output, counts | {"elapsed_seconds": round(time.monotonic() - start, 3)}, tags=args.tag)
         Path(args.audit).write_text(json.dumps(record, indent=1), encoding="utf-8")
     print(json.dumps(counts))
     return 0
@@ -149,6 +149,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--since")
     c.add_argument("--since-column")
     c.add_argument("--audit")
+    c.add_argument("--tag", action="append", help="what the run is for; goes into the audit record")
     for flag in ("--dry-run", "--overwrite", "--strict", "--allow-weak-salt", "--allow-other-salt"):
         c.add_argument(flag, action="store_true")
     command("scan", do_scan, "output")

@@ -36,10 +36,13 @@ def unique_mapping(values: DataFrame, column: str, salt: str, min_int: int = 100
     for counter in range(MOST_ROUNDS):
         text = F.col("value") if counter == 0 else F.concat(F.col("value"), F.lit(f":{counter}"))
         tries = todo.withColumn("token", u64_mod(hmac_sha256(text, salt), span) + F.lit(min_int).cast("long"))
-        free = tries if done is None else tries.join(done.select("token"), "token", "left_anti").select("value", "token")
-        won = free.groupBy("token").agg(F.min("value").alias("value")).select("value", "token")
-        done = durable(won if done is None else done.unionByName(won))
-        todo = durable(todo.join(done.select("value"), "value", "left_anti"))
+        if done is not None:  # of what is given only the numbers that are tried matter, which get few soon
+            taken = done.select("token").join(tries.select("token").distinct(), "token", "left_semi")
+            tries = tries.join(taken, "token", "left_anti").select("value", "token")
+        # each round writes what it gave, and nothing again
+        won = durable(tries.groupBy("token").agg(F.min("value").alias("value")).select("value", "token"))
+        done = won if done is None else done.unionByName(won)
+        todo = durable(todo.join(won.select("value"), "value", "left_anti"))
         if todo.isEmpty():
             return done
     # nearly full: the rest takes free numbers in order

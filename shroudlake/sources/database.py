@@ -15,7 +15,7 @@ from ..operators.integrity import ForeignKey
 from ..operators.masking import mask
 from ..plans.policy import Policy, normal
 
-#: What names of production systems look like.
+#: What names of production systems look like. Which addresses are refused depends on them.
 _PRODUCTION = re.compile(r"\bprod\b|production|\blive\b|\bmaster\b|main[-_]?db|rds\.amazonaws\.com|database\.windows\.net|gcp\.cloudsql", re.I)
 
 

@@ -7,8 +7,6 @@ can't be read is an error: nothing slips through unmasked.
 
 from __future__ import annotations
 
-import csv
-import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -131,6 +129,31 @@ def _statement_end(text: str, at: int) -> int:
     return min(len(text), at + 1)
 
 
+_CELL = re.compile(r'("(?:[^"]|"")*"|[^",\r\n]*)(,|\r?\n|$)')
+
+
+def csv_rows(body: str) -> Iterator[list[str]]:
+    """The rows of COPY CSV, with cells as they are written."""
+    row, at = [], 0
+    while at < len(body):
+        cell = _CELL.match(body, at)
+        if cell is None:
+            raise ValueError(f"a CSV cell can't be read: {body[at : at + 60]!r}")
+        row.append(cell[1])
+        at = cell.end()
+        if cell[2] != ",":
+            if row != [""]:  # an empty line
+                yield row
+            row = []
+        elif at == len(body):
+            yield [*row, ""]
+
+
+def csv_value(cell: str) -> str | None:
+    """The value of a cell of COPY CSV: an empty one is NULL, an empty quoted one an empty text."""
+    return None if cell == "" else cell[1:-1].replace('""', '"') if cell[0] == '"' else cell
+
+
 def _names(text: str | None) -> list[str]:
     return [normal(x) for x in text.split(",")] if text else []
 
@@ -156,10 +179,10 @@ def split_dump(text: str, strict_tables: set[str] | None = None) -> Iterator[Pie
             at = m.end()
             end = re.compile(r"^\\\.[ \t]*(?:\n|$)", re.MULTILINE).search(text, at)
             body = text[at : end.start() if end else len(text)]
-            rows = csv.reader(io.StringIO(body)) if form == "csv" else (x.split("\t") for x in body.split("\n") if x)
+            rows = csv_rows(body) if form == "csv" else (x.split("\t") for x in body.split("\n") if x)
             for i, cells in enumerate(rows, 1):
                 names = columns or [f"col_{k}" for k in range(len(cells))]
-                values = [(c if c != "" else None) if form == "csv" else None if c == "\\N" else unescape(c) for c in cells]
+                values = [csv_value(c) if form == "csv" else None if c == "\\N" else unescape(c) for c in cells]
                 yield Piece("row", "", n, i, form, table, names, values, cells)
             yield Piece("end", end[0] if end else "", n, 1 << 40, form, table)
             at = held = end.end() if end else len(text)
@@ -279,10 +302,10 @@ def mask_dump(spark: SparkSession, source: str, target: str, policy: Policy, **o
             quoted = F.concat(F.when(was.rlike("^[Nn]'"), "N").otherwise(""), F.lit("'"), F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("'"))
             insert = F.when(new.isNull(), "NULL").otherwise(new if number else quoted)
             escaped = F.replace(F.replace(F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-            comma = F.when(new.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(new, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(new, F.lit("")))
-            raw = F.when(F.col("__form") == "csv", comma).otherwise(was)
+            quoted_cell = F.concat(F.lit('"'), F.replace(new, F.lit('"'), F.lit('""')), F.lit('"'))
+            comma = F.when((new == "") | new.rlike('[",\r\n]'), quoted_cell).otherwise(F.coalesce(new, F.lit("")))
             made = F.when(F.col("__form") == "insert", insert).when(F.col("__form") == "csv", comma).otherwise(F.coalesce(escaped, F.lit("\\N")))
-            cells.append(F.when(same, raw).otherwise(made))
+            cells.append(F.when(same, was).otherwise(made))
         line = F.when(F.col("__form") == "insert", F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(")"), F.col("__tail"))).when(F.col("__form") == "csv", F.concat_ws(",", *cells)).otherwise(F.concat_ws("\t", *cells))
         out = out.unionByName(after.select(*[F.col(f"__{c}").alias(c) for c in place], line.alias("text")))
     ordered = out.repartitionByRange(*place).sortWithinPartitions(*place)

@@ -13,6 +13,7 @@ from shroudlake.plans.policy import Policy
 from shroudlake.sources.database import changed_rows, is_production, redact
 from shroudlake.sources.files import format_of, read_table, write_table
 from shroudlake.sources.sqldump import dump_tables, format_literal, literal_value, mask_dump, read_dump, split_dump
+from shroudlake.operators.integrity import unique_mapping
 from shroudlake.streaming import mask_stream, unique_sink, write_masked
 
 SALT = "fixture-salt-v1"
@@ -149,7 +150,7 @@ def test_audit_and_salts():
     p = Policy.model_validate({"global": {"salt": "x" * 40}})
     record = audit.audit_record(p, "postgresql://u:pw@h/d", None, {"rows": 1}, key="k")
     assert audit.verify_record(record, "k") and not audit.verify_record(record, "other") and "pw@" not in json.dumps(record)
-    record["audit_payload"]["metrics"]["rows"] = 2
+    record["run"]["counters"]["rows"] = 2
     assert not audit.verify_record(record, "k") and not audit.verify_record({}, "k")
     assert audit.salt_weakness("changeme") and audit.salt_weakness("short") and audit.salt_weakness(None) and not audit.salt_weakness("x" * 32)
     with pytest.raises(PermissionError):
@@ -176,3 +177,28 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "shop.sql").write_text(DUMP)
     assert run("subset", "-i", tmp_path / "shop.sql", "-o", tmp_path / "sub", "--root", "customers", "--limit", 1) == 0
     assert spark.read.parquet(str(tmp_path / "sub" / "orders.parquet")).count() == 2
+
+
+def test_copy_csv_keeps_empty_texts_and_literals(spark, tmp_path):
+    (tmp_path / "d.sql").write_text('CREATE TABLE t (id int, note text, secret text);\nCOPY t (id, note, secret) FROM stdin WITH (FORMAT csv);\n1,"",x\n2,,yy\n3,"plain",zz\n4,"a, ""b""\nc","q"\n\\.\nSELECT 1;\n')
+    rows = Policy.model_validate({"global": {"salt": "s" * 40}, "tables": {"t": {"columns": {"secret": {"strategy": "mask"}}}}})
+    mask_dump(spark, str(tmp_path / "d.sql"), str(tmp_path / "out"), rows)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert '\n1,"",*\n2,,**\n3,"plain",**\n4,"a, ""b""\nc",*\n\\.\n' in text
+    got = {r.id: r.note for r in dump_tables(read_dump(spark, str(tmp_path / "out")))["t"].collect()}
+    assert got == {1: "", 2: None, 3: "plain", 4: 'a, "b"\nc'}
+
+
+def test_numbers_are_written_once(spark, tmp_path, monkeypatch):
+    """Rounds and batches write what is new, not what was given before."""
+    written = []
+    import shroudlake.operators.integrity as integrity
+
+    keep = integrity.durable
+    monkeypatch.setattr(integrity, "durable", lambda df: (lambda out: (written.append((out.columns, out.count())), out)[1])(keep(df)))
+    known = unique_mapping(spark.range(300).withColumnRenamed("id", "k"), "k", "s" * 32, 1, 400)
+    first = sum(n for c, n in written if c == ["value", "token"])
+    assert first == 300 and len({r.token for r in known.collect()}) == 300
+    written.clear()
+    unique_mapping(spark.range(290, 310).withColumnRenamed("id", "k"), "k", "s" * 32, 1, 400, known)
+    assert sum(n for c, n in written if c == ["value", "token"]) == 10
