@@ -1,4 +1,8 @@
-"""Format-preserving encryption: a Feistel network over decimal digits in expressions, over any alphabet in Arrow batches."""
+"""Format-preserving encryption: a Feistel network over decimal digits in expressions, over any alphabet in Arrow batches.
+
+The layout of what a round hashes (round and tweak length in two bytes each, tweak, half) and the shift of a single
+character are fixed: encrypted values depend on them.
+"""
 
 from __future__ import annotations
 

@@ -152,5 +152,8 @@ _provide("word", lambda m: m.words("word", 1))
 
 
 def synthetic(prefix: str, value: Column, provider: str, locale: str) -> Column:
-    """A value of the provider; an unknown provider gives a word."""
-    return PROVIDERS.get(provider.lower().strip(), PROVIDERS["word"])(Maker(prefix, value, locale))
+    """A value of the provider; an unknown one is an error."""
+    name = provider.lower().strip()
+    if name not in PROVIDERS:
+        raise ValueError(f"there is no provider {provider}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name](Maker(prefix, value, locale))

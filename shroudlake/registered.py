@@ -46,12 +46,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: a small file is one partition, which costly expressions would keep on one core. Large tables stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def policy(table: str | None = None, groups: list[dict] | None = None, tables: dict[str, Any] | None = None, **rules: Any) -> Policy:
     """A policy: a rule is a strategy's name, or (name, parameters), or a whole rule."""
     full = lambda r: r if isinstance(r, dict) else {"strategy": r} if isinstance(r, str) else {"strategy": r[0], "params": r[1]}
@@ -62,7 +56,7 @@ def policy(table: str | None = None, groups: list[dict] | None = None, tables: d
 
 
 def masked(spark: SparkSession, sf_dir: str, table: str, **rules: Any) -> DataFrame:
-    return mask(spread(read(spark, sf_dir, table)), table, policy(table, **rules))
+    return mask(read(spark, sf_dir, table), table, policy(table, **rules))
 
 
 # How the same is said in DuckDB.
@@ -384,7 +378,7 @@ def _feistel_sql(table: str, key_col: str, digits: str, key: bytes, tweak: str,
 
 @query(_feistel_sql("orders", "o_orderkey", "lpad((o_orderkey * 104729)::VARCHAR, 12, '0')", hashlib.sha256(f"fpe:{SALT}:orders.number".encode()).digest(), "orders.number", 10))
 def fpe_digits_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spread(read(spark, sf_dir, "orders")).withColumn("number", F.lpad((F.col("o_orderkey") * 104729).cast("string"), 12, "0"))
+    df = read(spark, sf_dir, "orders").withColumn("number", F.lpad((F.col("o_orderkey") * 104729).cast("string"), 12, "0"))
     return mask(df, "orders", policy("orders", number="fpe")).select("o_orderkey", "number")
 
 
@@ -580,7 +574,7 @@ def evaluate_after_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Discovery
 
 
-@query("SELECT 'customer' AS \"table\", * FROM (VALUES ('email', 'email', 0.9::DOUBLE, 'faker'), ('contact', 'email', 0.95::DOUBLE, 'faker'), ('card', 'credit_card', 0.98::DOUBLE, 'credit_card_mask')) v(\"column\", pii_type, confidence, strategy)")
+@query("SELECT 'customer' AS \"table\", * FROM (VALUES ('email', 'email', 0.9::DOUBLE, 'fpe_email'), ('contact', 'email', 0.95::DOUBLE, 'fpe_email'), ('card', 'credit_card', 0.98::DOUBLE, 'fpe_credit_card')) v(\"column\", pii_type, confidence, strategy)")
 def scan_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived columns with addresses and valid card numbers are found, all others not."""
     body = F.lpad((F.col("c_custkey") * 7919).cast("string"), 15, "4")
@@ -635,6 +629,19 @@ def subset_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset_stats(*_subset(spark, sf_dir))
 
 
+_CHAIN = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 7 % (SELECT count(*) FROM customer) + 1 END AS boss, c_name FROM customer"
+
+
+@query(f"""WITH RECURSIVE staff AS ({_CHAIN}), kept(id) AS (SELECT id FROM (SELECT id FROM staff ORDER BY id LIMIT 5) UNION SELECT boss FROM staff JOIN kept USING (id) WHERE boss IS NOT NULL)
+SELECT id, boss, c_name FROM staff WHERE id IN (SELECT id FROM kept)""")
+def subset_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table that refers to itself come with all that they refer to."""
+    df = read(spark, sf_dir, "customer")
+    boss = F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") * 7 % F.lit(df.count()) + 1)
+    staff = df.select(F.col("c_custkey").alias("id"), boss.alias("boss"), "c_name")
+    return subset({"staff": staff}, [ForeignKey("staff", ("boss",), "staff", ("id",))], "staff", limit=5)["staff"]
+
+
 @query("SELECT 'c_name' AS \"column\", count(*) AS rows, count(*) AS n_changed, 0::BIGINT AS n_identical, 'CHANGED' AS status FROM customer UNION ALL SELECT 'c_mktsegment', count(*), 0, count(*), 'IDENTICAL' FROM customer")
 def policy_diff_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = policy("customer", c_name=("mask", {"keep_last": 4}), c_mktsegment="nullify")
@@ -690,6 +697,73 @@ def sqldump_mask_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump_tables(read_dump(spark, target))["nation"]
 
 
+def _dump(spark: SparkSession, lines: DataFrame, head: str, end: str, rules: Policy, table: str) -> DataFrame:
+    """A dump of one table's lines between a head and an end, masked as a dump and read back as a table."""
+    source, target = scratch_path(spark, "dump-in"), scratch_path(spark, "dump-out")
+    frame = lambda t: spark.createDataFrame([(t,)], "text string")
+    frame(head).unionByName(lines).unionByName(frame(end)).coalesce(1).write.text(source)
+    mask_dump(spark, source, target, rules)
+    return dump_tables(read_dump(spark, target))[table]
+
+
+_PART = "CREATE TABLE part (p_partkey bigint, p_name text, note text, p_size int);\n"
+
+
+@query("SELECT p_partkey, repeat('*', length(p_name)) AS p_name, CASE WHEN p_partkey % 3 > 0 THEN p_brand || chr(9) || p_type END AS note, p_size::BIGINT AS p_size FROM part")
+def copy_text_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as COPY text with tabs in cells and nulls."""
+    note = F.when(F.col("p_partkey") % 3 > 0, F.concat("p_brand", F.lit("\\t"), "p_type")).otherwise("\\N")
+    lines = read(spark, sf_dir, "part").select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name", note, F.col("p_size").cast("string")).alias("text"))
+    return _dump(spark, lines, _PART + "COPY public.part (p_partkey, p_name, note, p_size) FROM stdin;", "\\.", policy("part", p_name="mask"), "part")
+
+
+@query("""SELECT p_partkey, repeat('*', length(p_name)) AS p_name, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_brand || ',"' || p_type || '"' END AS note, p_size::BIGINT AS p_size FROM part""")
+def copy_csv_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as COPY CSV: an empty quoted cell stays an empty text, an empty one null."""
+    quoted = F.concat(F.lit('"'), "p_brand", F.lit(',""'), "p_type", F.lit('"""'))
+    note = F.when(F.col("p_partkey") % 3 == 0, "").when(F.col("p_partkey") % 3 == 1, '""').otherwise(quoted)
+    lines = read(spark, sf_dir, "part").select(F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", note, F.col("p_size").cast("string")).alias("text"))
+    return _dump(spark, lines, _PART + "COPY part (p_partkey, p_name, note, p_size) FROM stdin WITH (FORMAT csv);", "\\.", policy("part", p_name="mask"), "part")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, repeat('*', length(n_name)) AS n_name FROM nation UNION ALL SELECT n_nationkey + 1000, repeat('*', length(n_name)) FROM nation")
+def sql_dialects_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-row INSERT statements with back-ticks and escaped quotes, and ones with brackets and national literals."""
+    nation = read(spark, sf_dir, "nation")
+    name = F.replace("n_name", F.lit("'"), F.lit("''"))
+    one = nation.select(F.format_string("INSERT INTO `nation` (`n_nationkey`, `n_name`) VALUES (%d, '%s'),\n  (%d, N'%s') ON DUPLICATE KEY UPDATE n_name = n_name;", "n_nationkey", name, F.col("n_nationkey") + 1000, name).alias("text"))
+    return _dump(spark, one, "CREATE TABLE [dbo].[nation] ([n_nationkey] int, [n_name] nvarchar(40));", "-- end; of 'all'", policy("nation", n_name="mask"), "nation")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, repeat('*', length(n_name)) AS n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def json_document_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as one JSON array over many lines."""
+    path = scratch_path(spark, "nation-document")
+    nation = read(spark, sf_dir, "nation")
+    nation.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct(*nation.columns), {"pretty": "true"})), ",\n"), F.lit("\n]")).alias("text")).write.text(path)
+    return mask(read_table(spark, path, "json"), "nation", policy("nation", n_name="mask"))
+
+
+@query("SELECT c_custkey, c_name, length(email) AS n_email, true AS same_domain, true AS changed FROM (SELECT c_custkey, c_name, lower(replace(c_name, '#', '.')) || '@host' || (c_custkey % 7) || '.example.org' AS email FROM customer)")
+def generated_policy_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan's findings as a policy, which then masks the table."""
+    df = with_email(read(spark, sf_dir, "customer")).select("c_custkey", "c_name", "email", F.col("email").alias("was"))
+    made = discovery.generate_policy([d for d in discovery.scan(df.select("email"), "customer")], salt=SALT)
+    out = mask(df, "customer", made)
+    return out.select("c_custkey", "c_name", F.length("email").cast("long").alias("n_email"), (F.substring_index("email", "@", -1) == F.substring_index("was", "@", -1)).alias("same_domain"), (F.col("email") != F.col("was")).alias("changed"))
+
+
+_GROUPED = f"100000 + {_draw('group:places', 'k::VARCHAR')} % 900000"
+
+
+@query(f"SELECT n_nationkey, {_GROUPED.replace('k::', 'n_nationkey::')} AS a, {_GROUPED.replace('k::', 'n_regionkey::')} AS b FROM nation")
+def explicit_group_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns whose rules name one group: equal values get equal numbers."""
+    df = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
+    rule = {"strategy": "random_int", "params": {"min_val": 100_000, "max_val": 999_999}, "consistency_group": "places"}
+    return mask(df, "nation", policy("nation", a=rule, b=rule))
+
+
 @query("SELECT r_regionkey::VARCHAR AS r_regionkey, substr(r_name, 1, 1) || repeat('*', length(r_name) - 1) AS r_name FROM region")
 def tsv_round_trip_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "region") + ".tsv"
