@@ -347,12 +347,14 @@ def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
         """(node, component) once the pairs of more are links too."""
         return cut(components(more.union(joined.select(F.col("component").alias("a"), F.col("node").alias("b")))))
 
-    def rest_of(joined: DataFrame) -> DataFrame:
-        return members.where(F.col("lead") != F.col("node")).join(joined, "node", "left").select("bucket", "which", "node", F.coalesce("component", "node").alias("component"))
+    def placed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+        """Members (bucket, which, node) with their components."""
+        return rows.select("bucket", "which", "node").join(joined, "node", "left").select("bucket", "which", "node", F.coalesce("component", "node").alias("component"))
 
     joined = cut(components(star(members.where(F.col("lead") != F.col("node")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())))
-    rest = rest_of(joined)
+    rest = placed(members.where(F.col("lead") != F.col("node")), joined)
     mixed = cut(_mixed(rest))
+    rest = cut(rest.join(mixed.select("bucket"), "bucket"))  # components only grow, so other buckets are done with
     for k in range(STARS):
         large = mixed.where("own_blocks > 1").select("bucket")
         if large.isEmpty():
@@ -363,7 +365,7 @@ def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
         more = star(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             joined = join(more, joined)
-            rest = rest_of(joined)
+            rest = cut(placed(rest, joined))
             mixed = cut(_mixed(rest))
     heavy = mixed.where((F.col("own_blocks").cast("long") * F.col("my_blocks") > SPLIT) & (F.col("which") < LANES * (CHUNKS - 2))).select("bucket")
     if heavy.isEmpty():
