@@ -14,8 +14,6 @@ from .common import cut, last_before
 
 _QUOTE = re.compile(r"^((?:\s?>)+)\s?(.*)$", re.DOTALL)
 _INTRODUCTION = re.compile(r"^\S.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$")
-#: Rounds of pointer doubling: enough for chains of 2 ** 40 replies.
-MOST_ROUNDS = 40
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -60,41 +58,39 @@ def parts(passage: str) -> dict[str, int]:
 
 
 def _threads(edges: DataFrame) -> DataFrame:
-    """(conv, turn, root, depth) from (conv, turn, parent): where the way over parents ends, and its steps, by pointer doubling."""
-    active, settled = cut(edges.select("conv", "turn", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))), None
-    for _ in range(MOST_ROUNDS):
-        # a message whose root has nothing above it is done; only the others go into the next round
-        state = active if settled is None else settled.unionByName(active)
-        above = state.where("depth > 0").select("conv", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        moved = active.join(above, ["conv", "root"], "left")
-        moved = cut(moved.select("conv", "turn", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.col("_root").isNotNull().alias("_moved")))
-        done = moved.where(~F.col("_moved")).drop("_moved")
-        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        settled = done if settled is None else settled.unionByName(done).coalesce(parts)  # unions add up their partitions
-        active = moved.where("_moved").drop("_moved")
-        if active.isEmpty():
-            return settled
-    raise RuntimeError("replies don't settle")
-
-
-def _reply_order(threads: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, turn, place): the place of each message of a thread when every message is followed by its replies, by turn,
-    each with its own replies behind it.
-
-    The message after another one is its first reply, else the next reply to the nearest message above that has one
-    behind. Following that from everywhere at once tells how many come after a message, however long the thread.
+    """(conv, turn, root, depth, place) from (conv, turn, parent), where parents are earlier turns: the message above all
+    others, the steps up to it, and the place when every message is followed by its replies, by turn, each with its own
+    replies behind it.
+
+    A walk around a thread enters every message and leaves it after its replies. The step before entering one is leaving
+    the reply beside it, else entering its parent; the step before leaving it is leaving its last reply, else entering it.
+    Messages entered on the way back to the root count the place, and those left again are taken off for the depth. The
+    way is followed from everywhere at once by pointer doubling: n rounds settle conversations of 2 ** n steps, and later
+    rounds are without them. Every step is the step before one other alone, so a message of many replies is no hot key.
     """
     replies = edges.where("parent IS NOT NULL").select("conv", "turn", "parent")
-    group = F.concat_ws("|", "conv", "parent")
-    beside = last_before(replies.withColumn("_group", group).withColumn("_back", -F.col("turn")), "_group", ["_back"], F.col("turn"), "next").select("conv", "turn", "next")
-    edges = cut(edges.select("conv", "turn", "parent").join(beside, ["conv", "turn"], "left"))
-    ends = _threads(edges.select("conv", "turn", F.when(F.col("next").isNull(), F.col("parent")).alias("parent")))
-    behind = ends.select("conv", "turn", F.col("root").alias("_end")).join(edges.select("conv", F.col("turn").alias("_end"), F.col("next").alias("_behind")), ["conv", "_end"])
-    first = replies.groupBy("conv", F.col("parent").alias("turn")).agg(F.min("turn").alias("_first"))
-    after = behind.join(first, ["conv", "turn"], "left").select("conv", "turn", F.coalesce("_first", "_behind").alias("parent"))
-    left = cut(_threads(cut(after)).select("conv", "turn", F.col("depth").alias("_left")))
-    whole = threads.select("conv", "turn", "root").join(left, ["conv", "turn"]).join(left.select("conv", F.col("turn").alias("root"), F.col("_left").alias("_all")), ["conv", "root"])
-    return whole.select("conv", "turn", (F.col("_all") - F.col("_left")).alias("place"))
+    beside = last_before(replies.withColumn("_group", F.concat_ws("|", "conv", "parent")), "_group", ["turn"], F.col("turn"), "_beside").select("conv", "turn", "_beside")
+    last = replies.groupBy("conv", F.col("parent").alias("turn")).agg(F.max("turn").alias("_last"))
+    sizes = edges.groupBy("conv").agg((2 * F.count("*")).alias("size"))
+    messages = edges.select("conv", "turn", "parent").join(beside, ["conv", "turn"], "left").join(last, ["conv", "turn"], "left").join(sizes, "conv")
+    step = lambda leaving, to, to_leaving, done: F.struct(F.lit(leaving).alias("leaving"), to.alias("to"), to_leaving.alias("to_leaving"), done.alias("done"))
+    entered = step(False, F.coalesce("_beside", "parent", "turn"), F.col("_beside").isNotNull(), F.col("parent").isNull())
+    left = step(True, F.coalesce("_last", "turn"), F.col("_last").isNotNull(), F.lit(False))
+    counts = {"depth": F.when(F.col("done"), 0).when(F.col("to_leaving"), -1).otherwise(1).cast("long"), "place": F.when(F.col("done") | F.col("to_leaving"), 0).otherwise(1).cast("long")}
+    state = cut(messages.select("conv", "turn", "size", F.inline(F.array(entered, left))).withColumns(counts))
+    longest = state.agg(F.max("size")).first()[0] or 0
+    settled, reach = state.where("NOT leaving AND size <= 1"), 1
+    while reach < longest:
+        # what has come to the root stays as it is, and is its own partner
+        ahead = state.select("conv", F.col("turn").alias("_turn"), F.col("leaving").alias("_leaving"), *[F.col(c).alias(f"_{c}") for c in ("to", "to_leaving", "done", "depth", "place")])
+        here = state.withColumns({"_turn": F.when(F.col("done"), F.col("turn")).otherwise(F.col("to")), "_leaving": F.when(F.col("done"), F.col("leaving")).otherwise(F.col("to_leaving"))})
+        sums = [F.when(F.col("done"), F.col(c)).otherwise(F.col(c) + F.col(f"_{c}")).alias(c) for c in ("depth", "place")]
+        state = cut(here.join(ahead, ["conv", "_turn", "_leaving"]).select("conv", "turn", "size", "leaving", F.col("_to").alias("to"), F.col("_to_leaving").alias("to_leaving"), F.col("_done").alias("done"), *sums))
+        reach *= 2
+        settled = settled.unionByName(state.where(F.expr("NOT leaving") & (F.col("size") <= reach)))
+        state = state.where(F.col("size") > reach)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled.select("conv", "turn", F.col("to").alias("root"), "depth", "place").coalesce(parts)  # unions add up their partitions
 
 
 def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -135,8 +131,7 @@ def link_quotes(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     linked = found.groupBy("conv", "turn").agg(F.min_by("_parent", F.struct("level", -F.col("_parent"))).alias("parent"), F.sum("_same").alias("_linked"))
     copies = known.groupBy("conv", "turn").agg(F.count("*").alias("_copies"))
     edges = cut(copies.join(linked, ["conv", "turn"], "left"))
-    threads = cut(_threads(edges))
-    threads = threads.join(_reply_order(threads, edges), ["conv", "turn"]).join(edges.select("conv", "turn", "parent", (F.col("_linked") / F.col("_copies")).cast("long").alias("_linked")), ["conv", "turn"])
+    threads = _threads(edges).join(edges.select("conv", "turn", "parent", (F.col("_linked") / F.col("_copies")).cast("long").alias("_linked")), ["conv", "turn"])
     out = messages.join(threads, ["conv", "turn"], "left")
     levels = F.coalesce(F.array_max("levels"), F.lit(0)).alias("n_levels")
     return out.select(

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shroudlake.llm import common, neardup, toxicity, warc
+from shroudlake.llm import common, neardup, quotes, toxicity, warc
 from shroudlake.llm.components import components
 from shroudlake.llm.decontam import contamination
 from shroudlake.llm.neardup import near_duplicates
@@ -403,6 +403,30 @@ def test_long_threads(spark):
     assert all(r.depth == r.turn == r.place and r.root == 0 for r in link_quotes(as_mail(df)).collect())
 
 
+def test_long_conversations_alone_take_more_rounds(spark, monkeypatch):
+    """Three doublings, one after another, took more than a driver's memory; now there is one, and short conversations leave it."""
+    rng, rows, want = random.Random(10), [], {}
+    for conv, n in [(c, 4) for c in range(20)] + [(-1, 50)]:
+        turns, parents = sorted(rng.randint(-(2**62), 2**62) for _ in range(n)), {}
+        for i, turn in enumerate(turns):
+            parents[turn] = rng.choice(turns[max(0, i - 3) : i]) if i else None
+            rows.append((conv, turn, parents[turn]))
+        for turn, place in order_slowly(parents).items():
+            above = [turn]
+            while parents[above[-1]] is not None:
+                above.append(parents[above[-1]])
+            want[(conv, turn)] = (above[-1], len(above) - 1, place)
+    kept, cut = [], quotes.cut
+    monkeypatch.setattr(quotes, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = quotes._threads(spark.createDataFrame(rows, "conv long, turn long, parent long").repartition(3))
+    assert {(r.conv, r.turn): (r.root, r.depth, r.place) for r in got.collect()} == want
+    # 8 steps are settled by 3 rounds, 100 steps by 7
+    assert [df.count() for df in kept] == [260] * 4 + [100] * 4
+    kept.clear()
+    df = spark.createDataFrame([(1, i, "u", f"message {i}") for i in range(8)], "conv_id long, turn long, role string, text string")
+    assert all(r.depth == r.turn == r.place and r.root == 0 for r in link_quotes(as_mail(df)).collect()) and len(kept) <= 7
+
+
 def test_very_long_messages(spark):
     long = "\n\n".join(f"paragraph {i} " + "word " * 200 for i in range(400))
     rows = [(1, 0, "u", long), (1, 1, "u", "yes\n" + "\n".join("> " + x for x in long.split("\n"))), (1, 2, "u", "> " + "paragraph 7 " + "word " * 200 + "\nthis one")]
