@@ -190,13 +190,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _lanes(x: str, y: str) -> F.Column:
-    """In how many symbols two signatures differ, by bit operations on longs of four symbols each."""
-    total = F.lit(0)
+    """In how many symbols two signatures differ, by bit operations on longs of four symbols each: two at a time, since a
+    symbol other than 0 plus 0xFFFF carries a bit into the free place above it. A column is written out wherever it is
+    used, so each is used once or twice."""
+    total, two, carries = F.lit(0), F.lit(0x0000FFFF0000FFFF), F.lit(0x0001000000010000)
     for c in range(CHUNKS):
         d = F.col(x)[c].bitwiseXOR(F.col(y)[c])
-        for s in (8, 4, 2, 1):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, s))
-        total = total + F.bit_count(d.bitwiseAND(F.lit(0x0001000100010001)))
+        for half in (d, F.shiftrightunsigned(d, 16)):
+            total = total + F.bit_count((half.bitwiseAND(two) + two).bitwiseAND(carries))
     return total
 
 
@@ -333,9 +334,10 @@ def links(reps: DataFrame, df: DataFrame, key: str, text: str, words: int, perce
     nodes = cut(members.select("node").distinct().join(reps.select("node", "class", "row"), "node"))
     if nodes.isEmpty():
         return None
+    nodes = small(nodes)
     rows = df.select(F.xxhash64(key, text).alias("row"), F.col(text).alias("text"))
-    sets = cut(_sets(rows.join(small(nodes), "row"), "text", words))
-    narrow = reps.join(small(nodes.select("node")), "node", "left_semi")
+    sets = cut(_sets(rows.join(nodes, "row"), "text", words))
+    narrow = reps.join(nodes.select("node"), "node", "left_semi")
     side = lambda n: narrow.select(F.col("node").alias(n), F.col("n_shingles").alias(f"_n{n}"), F.col("signature").alias(f"_s{n}"))
 
     def star(pairs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shroudlake.llm import common, neardup, quotes, toxicity, warc
+from shroudlake.llm import components as joined_links
 from shroudlake.llm.components import components
 from shroudlake.llm.decontam import contamination
 from shroudlake.llm.neardup import near_duplicates
@@ -71,6 +72,55 @@ def test_components(spark, edges):
     assert got == {n: min(s) for n, s in root.items()}
 
 
+@pytest.mark.parametrize(("chunk", "most"), [(1 << 18, 100_000), (2, 100_000), (2, 0)])
+def test_components_in_chunks_of_any_size(spark, monkeypatch, chunk, most):
+    monkeypatch.setattr(joined_links, "CHUNK", chunk)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(-60, 60)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(140)] + [(5000, i) for i in range(4000, 4050)]
+    names = {n: {n} for e in edges for n in e}
+    for a, b in edges:
+        if names[a] is not names[b]:
+            names[a] |= names[b]
+            for n in names[b]:
+                names[n] = names[a]
+    want = {n: min(s) for n, s in names.items() if len(s) > 1}
+    links = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    assert {r.node: r.component for r in components(links).collect()} == want
+    texts = links.select(*[F.format_string("%05d", F.col(c) + 100).alias(c) for c in ("a", "b")])  # of another kind than whole numbers
+    assert {int(r.node) - 100: int(r.component) - 100 for r in components(texts).collect()} == want
+
+
+def jobs(spark, run):
+    """How many jobs run() takes."""
+    sc, group = spark.sparkContext, f"counted-{random.random()}"
+    sc.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup(group))
+
+
+def test_small_inputs_take_few_jobs(spark):
+    """Each job takes the driver's memory: for threads, broadcasts, generated code."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")
+    assert jobs(spark, lambda: components(chain).collect()) <= 20
+    rows = spark.createDataFrame(family(), "doc_id long, text string")
+    assert jobs(spark, lambda: near_duplicates(rows, words=4).collect()) <= 110
+
+
+def test_differing_symbols_are_counted_by_a_short_expression(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 16, (300, neardup.SYMBOLS)).astype("<u2")
+    y = np.where(rng.random(x.shape) < 0.5, x, x ^ (1 << rng.integers(0, 16, x.shape)).astype("<u2"))
+    x[0], y[0], x[1], y[1] = 0, 0xFFFF, 0xFFFF, 0x7FFF
+    rows = spark.createDataFrame([(a.view("<i8").tolist(), b.view("<i8").tolist(), int((a != b).sum())) for a, b in zip(x, y, strict=True)], "a array<long>, b array<long>, n int")
+    lanes = neardup._lanes("a", "b")
+    assert rows.where(lanes != F.col("n")).isEmpty()
+    assert len(str(lanes)) < 5_000
+
+
 @pytest.mark.parametrize("q", [4, 5])
 def test_near_duplicates(tables, q):
     rows = [(r.doc_id, r.text) for r in tables("documents").collect()]
