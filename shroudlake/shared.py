@@ -31,6 +31,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small file is one task or a few, which costly expressions would keep on as many cores.
+
+    Only a table that is read in fewer tasks than there are cores is dealt out, and no plan with an exchange.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df._jdf.rdd().getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

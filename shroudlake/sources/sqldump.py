@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.masking import mask
 from ..plans.policy import Policy, normal
+from ..shared import discard, scratch_path
 
 _NAME = r"(?:[\w$]+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
 _TABLE = rf"{_NAME}(?:\s*\.\s*{_NAME})*"
@@ -279,14 +280,27 @@ def _table(rows: DataFrame, columns: list[str], types: dict[str, str], *more: Co
 
 
 def mask_dump(spark: SparkSession, source: str, target: str, policy: Policy, **options: str) -> None:
-    """Writes a masked copy of dumps: a folder of text, in the order of the statements, a row on a line of its own."""
-    pieces = read_dump(spark, source, policy)
+    """Writes a masked copy of dumps: a folder of text, in the order of the statements, a row on a line of its own.
+
+    What was one file stays in one file, so that no statement is cut from its rows or its table's definition. Dumps are
+    split once, into a table in the shared folder that is deleted in the end.
+    """
+    held = scratch_path(spark, "dump-pieces")
+    try:
+        read_dump(spark, source, policy).write.parquet(held)
+        _mask_pieces(spark.read.parquet(held), target, policy, **options)
+    finally:
+        discard(spark, held)
+
+
+def _mask_pieces(pieces: DataFrame, target: str, policy: Policy, **options: str) -> None:
     types = ddl_types(pieces)
     shapes = pieces.where("kind = 'row'").select("table", "columns").distinct().collect()
     dropped = [r.table for r in shapes if (t := policy.table(r.table)) and t.truncate] + [normal(t.rpartition(".")[2]) for t, r in policy.tables.items() if r.truncate]
     keep = pieces.where(~((F.col("kind") != "other") & F.col("table").isin(*dropped))) if dropped else pieces
     place = ["file", "statement", "row"]
-    out = keep.where("kind <> 'row'").select(*place, "text")
+    text = F.when((F.col("kind") == "end") & (F.col("form") != "insert") & (F.col("text") == ""), "\\.").otherwise(F.col("text"))
+    out = keep.where("kind <> 'row'").select(*place, text.alias("text"))
     for shape in shapes:
         if shape.table in dropped:
             continue
@@ -308,5 +322,5 @@ def mask_dump(spark: SparkSession, source: str, target: str, policy: Policy, **o
             cells.append(F.when(same, was).otherwise(made))
         line = F.when(F.col("__form") == "insert", F.concat(F.lit("("), F.concat_ws(", ", *cells), F.lit(")"), F.col("__tail"))).when(F.col("__form") == "csv", F.concat_ws(",", *cells)).otherwise(F.concat_ws("\t", *cells))
         out = out.unionByName(after.select(*[F.col(f"__{c}").alias(c) for c in place], line.alias("text")))
-    ordered = out.repartitionByRange(*place).sortWithinPartitions(*place)
+    ordered = out.repartitionByRange("file").sortWithinPartitions(*place)
     ordered.select(F.regexp_replace("text", r"\r?\n$", "").alias("text")).write.text(target)

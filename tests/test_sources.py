@@ -202,3 +202,23 @@ def test_numbers_are_written_once(spark, tmp_path, monkeypatch):
     written.clear()
     unique_mapping(spark.range(290, 310).withColumnRenamed("id", "k"), "k", "s" * 32, 1, 400, known)
     assert sum(n for c, n in written if c == ["value", "token"]) == 10
+
+
+def test_masked_dumps_of_many_files_read_back_whole(spark, tmp_path):
+    """A dump stays one file, with its definition and all rows of a statement; files that share a folder don't mix."""
+    (tmp_path / "in").mkdir()
+    ddl, head = "CREATE TABLE t (id int, note text);\n", "COPY t FROM stdin WITH (FORMAT csv);\n"
+    for k in range(3):  # the first two end in the middle of their data, as a file may
+        (tmp_path / "in" / f"{k}.sql").write_text(ddl + head + "".join(f'{i},"a ""{i}"""\n' for i in range(400 * k, 400 * k + 400)) + "\\.\n" * (k == 2))
+    rules = Policy.model_validate({"global": {"salt": SALT}, "tables": {"t": {"columns": {"note": {"strategy": "mask"}}}}})
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for n, coalesce in ((7, "false"), (1, "true")):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            mask_dump(spark, str(tmp_path / "in"), str(tmp_path / f"out{n}"), rules)
+            got = {r.id: r.note for r in dump_tables(read_dump(spark, str(tmp_path / f"out{n}")))["t"].collect()}
+            assert got == {i: "*" * len(f'a "{i}"') for i in range(1200)}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
