@@ -222,3 +222,19 @@ def test_masked_dumps_of_many_files_read_back_whole(spark, tmp_path):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_copy_text_over_many_tasks(spark, tmp_path):
+    """The query's rows and nulls in COPY text don't depend on how large a partition may be."""
+    from shroudlake import registered
+
+    from .against import SF
+
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = registered.QUERIES["copy_text_part"](spark, SF).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    want = {r.p_partkey: None if r.p_partkey % 3 == 0 else f"{r.p_brand}\t{r.p_type}" for r in registered.read(spark, SF, "part").collect()}
+    assert len(got) == len(want) and {r.p_partkey: r.note for r in got} == want
