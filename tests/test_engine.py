@@ -244,3 +244,20 @@ def test_customers_with_the_same_number_keep_their_own_orders(spark, tmp_path, m
     got = registered.fk_consistency(spark, str(tmp_path)).collect()
     assert len({r.c_custkey for r in got}) <= 6
     assert sorted((r.c_name, r.n_orders) for r in got) == sorted((f"c{i}", i % 40) for i in range(1, 41))
+
+
+def test_entropy_as_sql_counts_it(spark, tmp_path):
+    """A document without a text has 0 as in SQL; what shares a batch with a text changes no bit of its entropy."""
+    import duckdb
+
+    from shroudlake import registered
+    from shroudlake.functions.checks import _entropies
+
+    texts = [None, "a", "aab", "a😀é\nb", "éx", "ab" * 40_000, "".join(chr(0x4E00 + i % 5000) for i in range(20_000)), *(f"Text {i} of 128 characters".ljust(128, "#") if i % 2 else str(i) for i in range(3000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.entropy for r in registered.entropy_documents(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(con.execute(registered.SQL["entropy_documents"]).fetchall()) and got[0] == 0.0
+    there = [t or "" for t in texts]
+    assert _entropies(there).tolist() == [float(_entropies([t])[0]) for t in there] and _entropies(["", ""]).tolist() == [0.0, 0.0]
