@@ -261,3 +261,23 @@ def test_entropy_as_sql_counts_it(spark, tmp_path):
     assert got == dict(con.execute(registered.SQL["entropy_documents"]).fetchall()) and got[0] == 0.0
     there = [t or "" for t in texts]
     assert _entropies(there).tolist() == [float(_entropies([t])[0]) for t in there] and _entropies(["", ""]).tolist() == [0.0, 0.0]
+
+
+def test_profiles_use_all_cores_on_one_small_file(spark, tmp_path):
+    """One small file is dealt out over the cores, a table of many tasks isn't; the counts are the same."""
+    texts = [None, "", " a@b.org ", "c@d.org", "*", "4539578763621486", "plain"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one, cores = spark.read.parquet(str(tmp_path / "one")), spark.sparkContext.defaultParallelism
+    plan = lambda x: discovery.profile(x)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan(one) and "RoundRobinPartitioning" not in plan(df.coalesce(cores))
+    for x in (one, df):
+        row = discovery.profile(x).first()
+        assert (row.n, row.unmasked, row.email, row.credit_card, row.min_length) == (15, 12, 6, 3, 1)
+        assert abs(row.entropy - sum(discovery_entropy(t.strip()) for t in texts if t and t.strip()) / 15) < 1e-12
+
+
+def discovery_entropy(text):
+    from math import log2
+
+    return -sum(text.count(c) / len(text) * log2(text.count(c) / len(text)) for c in set(text))
